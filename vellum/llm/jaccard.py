@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .textops import LOWER, U, components, mix, shingle_sets, slices, stored
 
 CLASS_BITS, BLOCKS = 21, 128
-BLOCK_ROWS = 1000
+BLOCK_ROWS, FEW = 1000, 50
 
 
 def _sets(batch, n, lower):
@@ -143,24 +143,39 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     )
     star = enough(star).filter("shared >= asked")
 
-    # Sets of what shares a prefix shingle with another set, found again from the texts of their first documents.
-    wanted = rows.groupBy("sid").agg(F.min("doc").alias("doc"))
-    firsts = stored(wanted, "wanted")
+    star = stored(star.select("a", "b", "n_a", "n_b"), "pairs")
+    firsts = stored(rows.groupBy("sid").agg(F.min("doc").alias("doc")), "firsts")
+    own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**62))).select("doc", "text")
 
     def of_texts(batches):
         for batch in batches:
             sids = batch.column("sid").to_pylist()
-            got = [(sids[r], s.astype(np.int64)) for r, s in _sets(batch, n, lower)]
+            got = [(sids[r], s.astype(np.int64)) for r, s in _sets(batch, n, lower) if set_name(s) == sids[r]]
             if got:
                 lengths = np.cumsum([0] + [len(s) for _, s in got])
                 values = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([s for _, s in got])))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), values], ["sid", "items"])
 
-    own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**62))).select("doc", "text")
-    sets = own.join(firsts, "doc").select("sid", "text").mapInArrow(of_texts, "sid long, items array<long>")
-    sets = stored(sets.dropDuplicates(["sid"]), "sets")
+    def sets_of(pairs):
+        """The shingle sets of the members of pairs, found again from their first documents' texts. A filter of 2**22
+        bits, a fixed size, spares most other texts the shuffle; the join decides."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(firsts, "sid")
+        needed = stored(needed, "needed")
+        bit = F.pmod(F.xxhash64("doc"), F.lit(1 << 22)).alias("bit")
+        bits = np.zeros(1 << 22, bool)
+        bits[needed.select(bit).distinct().toArrow().column("bit").to_numpy()] = True
+        sent = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+        def sift(batches):
+            ok = np.unpackbits(sent.value).astype(bool)
+            for batch in batches:
+                yield batch.filter(pa.array(ok[batch.column("bit").to_numpy()]))
+
+        near = own.withColumn("bit", bit).mapInArrow(sift, "doc long, text string, bit long").drop("bit")
+        return stored(near.join(needed, "doc").select("sid", "text").mapInArrow(of_texts, "sid long, items array<long>"), "sets")
 
     def verified(pairs):
+        sets = sets_of(pairs)
         left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), "a")
         full = left.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b")
         meet = F.size(F.array_intersect("items_a", "items_b")).cast("long")
@@ -169,13 +184,17 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     links = stored(verified(star), "links")
     labels = components(links)
 
-    # What is left: pairs in different components, in blocks of bounded size.
+    # What is left: pairs in different components. Shingles of few sets are joined; those of many in bounded blocks.
     marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
     marked = stored(marked, "marked")
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("parts"))
-    mixed = stored(mixed, "mixed")
-    spread = marked.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
+    both = stored(marked.join(mixed, "token"), "mixed")
+    few = both.filter(F.col("k") <= FEW).drop("k")
+    x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "level", "ell", "label")]) for o in "ab")
+    pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b")
+    pairs = pairs.withColumnRenamed("sid_a", "a").withColumnRenamed("sid_b", "b").drop("token", "label_a", "label_b")
+    many = both.filter(F.col("k") > FEW).withColumn("parts", F.ceil(F.col("k") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
     def pairs_of(key, table):
@@ -194,7 +213,9 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z]) for z in (x, y) for k in ("n", "level", "ell")], names=["a", "b", "n_a", "level_a", "ell_a", "n_b", "level_b", "ell_b"])
 
     rest = spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, level_a short, ell_a short, n_b int, level_b short, ell_b short")
-    more = stored(verified(enough(rest).filter("shared >= asked")), "links")
+    rest = pairs.unionByName(rest)
+    rest = stored(enough(rest).filter("shared >= asked").select("a", "b", "n_a", "n_b"), "pairs")
+    more = stored(verified(rest), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
