@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import DuplicateKeyError
+from .functions.compare import negate
 from .operators import updates
 from .operators.pipeline import Pipeline, _ordered, sort_columns
 from .operators.projection import project
@@ -96,7 +97,7 @@ class Collection:
 
     def delete(self, spec, one: bool = False) -> Collection:
         matches = compile_filter(spec, self.df.schema)
-        return Collection(self.df.filter(~(self._first(matches) if one else matches)), self.id_col)
+        return Collection(self.df.filter(negate(self._first(matches) if one else matches)), self.id_col)
 
     def insert(self, rows: DataFrame) -> Collection:
         """The collection with rows added; a key that is there already, or twice in rows, is an error."""

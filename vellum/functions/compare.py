@@ -1,8 +1,9 @@
-"""Exact, two-valued comparisons of a typed column with a literal.
+"""Exact comparisons of a typed column with a literal.
 
 Numbers compare by exact value across int, double and decimal: literals are known when the query is built, so bounds are
 moved to values of the column's type instead of converting the column. NaN belongs to no numeric range and
-equals itself. Values of different classes never match. Every result is true or false, never null.
+equals itself. Values of different classes never match. Null counts as
+false: conjunctions and disjunctions keep it, so that plain comparisons reach the scan, and negate() settles it.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRUE, FALSE = F.lit(True), F.lit(False)
 _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
-def two_valued(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def negate(c: Column) -> Column:
+    """Not c, where null counts as false."""
+    return ~F.coalesce(c, F.lit(False))
 
 
 def is_number(v) -> bool:
@@ -57,14 +58,14 @@ def _exact(v) -> Fraction:
 def _number(c: Column, t: T.DataType, op: str, v) -> Column:
     floating = isinstance(t, (T.DoubleType, T.FloatType))
     c = c.cast("double") if isinstance(t, T.FloatType) else c
-    valid = ~F.isnan(c) if floating else TRUE
+    valid = ~F.isnan(c) if floating else F.lit(True)
     if isinstance(v, (float, Decimal)) and math.isnan(v):
-        return F.isnan(c) if floating and op in ("==", ">=", "<=") else FALSE
+        return F.isnan(c) if floating and op in ("==", ">=", "<=") else F.lit(False)
     if isinstance(v, (float, Decimal)) and math.isinf(v):
         if floating:
             return {"==": c == float(v), ">": c > float(v), ">=": c >= float(v), "<": c < float(v), "<=": c <= float(v)}[op] & valid
         below = (op in ("<", "<=")) == (v > 0) and op != "=="
-        return c.isNotNull() if below else FALSE
+        return c.isNotNull() if below else F.lit(False)
     x = _exact(v)
     if floating:
         near = float(x) if abs(x) < Fraction(2) ** 1024 else math.copysign(math.inf, x)
@@ -72,18 +73,18 @@ def _number(c: Column, t: T.DataType, op: str, v) -> Column:
             return {"==": c == near, ">": c > near, ">=": c >= near, "<": c < near, "<=": c <= near}[op] & valid
         over = math.isinf(near) and near > 0 or math.isfinite(near) and Fraction(near) > x
         if op == "==":
-            return FALSE
+            return F.lit(False)
         return ((c >= near if over else c > near) if op in (">", ">=") else (c < near if over else c <= near)) & valid
     scale = t.scale if isinstance(t, T.DecimalType) else 0
     scaled = x * 10**scale
     if op == "==" and scaled.denominator != 1:
-        return FALSE
+        return F.lit(False)
     bound = math.floor(scaled) if op in (">", "<=") else math.ceil(scaled)
     limit = 10**t.precision if isinstance(t, T.DecimalType) else 2 ** (_BITS[type(t)] - 1)
     if not -limit <= bound < limit:
         if op == "==":
-            return FALSE
-        return c.isNotNull() if (bound < 0) == (op in (">", ">=")) else FALSE
+            return F.lit(False)
+        return c.isNotNull() if (bound < 0) == (op in (">", ">=")) else F.lit(False)
     if isinstance(t, T.DecimalType):
         value = F.lit(str(Decimal(bound).scaleb(-scale))).cast(t)
     else:
@@ -111,32 +112,32 @@ def same(c: Column, t: T.DataType, v) -> Column:
     if v is None:
         return c.isNull()
     if value_class(v) != column_class(t):
-        return FALSE
+        return F.lit(False)
     if is_number(v):
-        return two_valued(_number(c, t, "==", v))
+        return _number(c, t, "==", v)
     if isinstance(t, T.ArrayType):
         parts = [same(F.get(c, i), t.elementType, x) for i, x in enumerate(v)]
-        out = two_valued(F.size(c) == len(v))
+        out = F.size(c) == len(v)
         for p in parts:
             out = out & p
         return out
     if isinstance(t, T.StructType):
         if list(v) != t.names:
-            return FALSE
+            return F.lit(False)
         out = c.isNotNull()
         for f in t.fields:
             out = out & same(c[f.name], f.dataType, v[f.name])
         return out
-    return two_valued(c == literal(v, t))
+    return c == literal(v, t)
 
 
 def ordered(c: Column, t: T.DataType, op: str, v) -> Column:
     """c op v for one value, within v's class only; null bounds match null where equality is included."""
     if v is None:
-        return c.isNull() if op in (">=", "<=") else FALSE
+        return c.isNull() if op in (">=", "<=") else F.lit(False)
     if value_class(v) != column_class(t):
-        return FALSE
+        return F.lit(False)
     if is_number(v):
-        return two_valued(_number(c, t, op, v))
+        return _number(c, t, op, v)
     x = literal(v, t)
-    return two_valued({">": c > x, ">=": c >= x, "<": c < x, "<=": c <= x}[op])
+    return {">": c > x, ">=": c >= x, "<": c < x, "<=": c <= x}[op]

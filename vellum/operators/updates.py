@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from ..functions.compare import is_number, literal, same
+from ..functions.compare import is_number, literal, negate, same
 from ..plans.filters import compile_filter, field, is_operators
 
 OPERATORS = ("$set", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$push", "$addToSet", "$pull", "$pop", "$currentDate")
@@ -109,7 +109,7 @@ def changed(op: str, c: Column | None, t: T.DataType | None, v) -> Column:
     if not isinstance(t, T.ArrayType):
         raise EngineError(f"{op} of a field that isn't an array")
     if op == "$pull":
-        return F.filter(c, lambda e: ~same(e, t.elementType, v))
+        return F.filter(c, lambda e: negate(same(e, t.elementType, v)))
     size = F.greatest(F.size(c) - 1, F.lit(0))
     return F.when(c.isNotNull(), F.slice(c, 2, size) if v < 0 else F.slice(c, 1, size))
 
@@ -125,7 +125,7 @@ def _nested(c: Column, t: T.StructType, path: list[str], make) -> Column:
 
 def apply(df: DataFrame, matches: Column, update: dict) -> DataFrame:
     """df with update's operators applied to the rows where `matches` is true."""
-    df = df.withColumn("__match", matches)
+    df = df.withColumn("__match", F.coalesce(matches, F.lit(False)))
     for op, fields in update.items():
         for name, v in fields.items():
             path = name.split(".")
@@ -155,7 +155,7 @@ def replace(df: DataFrame, matches: Column, document: dict, id_col: str = "_id")
     extra = [k for k in document if k not in df.columns]
     for k in extra:
         df = df.withColumn(k, F.lit(None).cast(_type_of(document[k])))
-    df = df.withColumn("__match", matches)
+    df = df.withColumn("__match", F.coalesce(matches, F.lit(False)))
     cols = [F.col(f.name) if f.name == id_col else F.when(F.col("__match"), literal(document.get(f.name), f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in df.schema.fields if f.name != "__match"]
     return df.select(*cols)
 

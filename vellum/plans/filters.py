@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from ..functions.compare import FALSE, TRUE, column_class, ordered, same, two_valued
+from ..functions.compare import column_class, negate, ordered, same
 
 Leaf = Callable[[Column | None, T.DataType], Column]
 
@@ -43,15 +43,15 @@ def at_path(c: Column | None, t: T.DataType, path: list[str], leaf: Leaf, missin
     if isinstance(t, T.StructType):
         f = field(t, head)
         if f is None:
-            return missing if c is None else missing
+            return missing
         inner = at_path(F.col(f"`{head}`") if c is None else c[head], f.dataType, rest, leaf, missing)
         return inner if c is None else F.when(c.isNull(), missing).otherwise(inner)
     if isinstance(t, T.ArrayType):
         i = position(head)
         if i is not None:
-            return F.when(two_valued(F.size(c) > i), at_path(F.get(c, i), t.elementType, rest, leaf, missing)).otherwise(F.lit(False))
+            return F.when(c.isNull(), missing).when(F.size(c) > i, at_path(F.get(c, i), t.elementType, rest, leaf, missing)).otherwise(F.lit(False))
         if isinstance(t.elementType, T.StructType):
-            return two_valued(F.exists(c, lambda x: x.isNotNull() & at_path(x, t.elementType, path, leaf, missing)))
+            return F.when(c.isNull(), missing).otherwise(F.exists(c, lambda x: x.isNotNull() & at_path(x, t.elementType, path, leaf, missing)))
         return F.when(c.isNull(), missing).otherwise(F.lit(False))
     return missing
 
@@ -62,7 +62,7 @@ def any_of(test: Leaf) -> Leaf:
     def leaf(c, t):
         own = test(c, t)
         if isinstance(t, T.ArrayType):
-            return own | two_valued(F.exists(c, lambda x: test(x, t.elementType)))
+            return own | (F.exists(c, lambda x: test(x, t.elementType)))
         return own
 
     return leaf
@@ -78,7 +78,7 @@ def _typed(name: str) -> Leaf:
             return c.isNull()
         own = {"int": (T.ByteType, T.ShortType, T.IntegerType), "long": T.LongType, "double": (T.DoubleType, T.FloatType), "decimal": T.DecimalType}.get(name)
         fits = isinstance(t, own) if own else column_class(t) == name
-        return c.isNotNull() if fits else FALSE
+        return c.isNotNull() if fits else F.lit(False)
 
     return leaf
 
@@ -94,24 +94,24 @@ def pattern(regex: str, options: str = "") -> str:
 def condition(path: list[str], op: str, v, options: str, reach) -> Column:
     """One operator on the value that reach(leaf, missing) finds."""
     if op == "$eq":
-        return reach(any_of(lambda c, t: same(c, t, v)), TRUE if v is None else FALSE)
+        return reach(any_of(lambda c, t: same(c, t, v)), F.lit(True) if v is None else F.lit(False))
     if op == "$ne":
-        return ~condition(path, "$eq", v, "", reach)
+        return negate(condition(path, "$eq", v, "", reach))
     if op in ("$gt", "$gte", "$lt", "$lte"):
         sign = {"$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<="}[op]
-        return reach(any_of(lambda c, t: ordered(c, t, sign, v)), TRUE if v is None and "=" in sign else FALSE)
+        return reach(any_of(lambda c, t: ordered(c, t, sign, v)), F.lit(True) if v is None and "=" in sign else F.lit(False))
     if op in ("$in", "$nin"):
         if not isinstance(v, (list, tuple)):
             raise EngineError(f"{op} wants a list")
 
         def among(c, t):
-            out = FALSE
+            out = F.lit(False)
             if plain := [x for x in v if isinstance(x, str)]:
-                out = two_valued(c.isin(plain)) if isinstance(t, T.StringType) else FALSE
+                out = (c.isin(plain)) if isinstance(t, T.StringType) else F.lit(False)
             whole = [x for x in v if isinstance(x, int) and not isinstance(x, bool)]
             if isinstance(t, (T.IntegerType, T.LongType)) and whole:
                 limit = 2 ** (31 if isinstance(t, T.IntegerType) else 63)
-                out = out | two_valued(c.isin([x for x in whole if -limit <= x < limit]))
+                out = out | (c.isin([x for x in whole if -limit <= x < limit]))
             else:
                 plain = plain + []
                 for x in whole:
@@ -121,46 +121,46 @@ def condition(path: list[str], op: str, v, options: str, reach) -> Column:
                     out = out | same(c, t, x)
             return out
 
-        found = reach(any_of(among), TRUE if any(x is None for x in v) else FALSE)
-        return found if op == "$in" else ~found
+        found = reach(any_of(among), F.lit(True) if any(x is None for x in v) else F.lit(False))
+        return found if op == "$in" else negate(found)
     if op == "$all":
         if not isinstance(v, (list, tuple)):
             raise EngineError("$all wants a list")
         if not v:
-            return FALSE
+            return F.lit(False)
 
         def every(c, t):
-            out = TRUE
+            out = F.lit(True)
             for x in v:
                 out = out & any_of(lambda c, t, x=x: same(c, t, x))(c, t)
             return out
 
-        return reach(every, TRUE if all(x is None for x in v) else FALSE)
+        return reach(every, F.lit(True) if all(x is None for x in v) else F.lit(False))
     if op == "$exists":
-        there = reach(lambda c, t: TRUE, FALSE)
-        return there if truth(v) else ~there
+        there = reach(lambda c, t: F.lit(True), F.lit(False))
+        return there if truth(v) else negate(there)
     if op == "$size":
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             raise EngineError("$size wants a number")
-        return reach(lambda c, t: two_valued(F.size(c) == int(v)) if isinstance(t, T.ArrayType) else FALSE, FALSE)
+        return reach(lambda c, t: (F.size(c) == int(v)) if isinstance(t, T.ArrayType) else F.lit(False), F.lit(False))
     if op == "$type":
         name = TYPE_NAMES.get(v.lower() if isinstance(v, str) else v)
         if name is None:
             raise EngineError(f"no type {v!r}")
-        return reach(any_of(_typed(name)), FALSE)
+        return reach(any_of(_typed(name)), F.lit(False))
     if op == "$regex":
         if not isinstance(v, str):
             raise EngineError("$regex wants a string")
         p = pattern(v, options)
-        return reach(any_of(lambda c, t: two_valued(c.rlike(p)) if isinstance(t, T.StringType) else FALSE), FALSE)
+        return reach(any_of(lambda c, t: (c.rlike(p)) if isinstance(t, T.StringType) else F.lit(False)), F.lit(False))
     if op == "$not":
         if not is_operators(v):
             raise EngineError("$not wants operators")
-        return ~conditions(path, v, reach)
+        return negate(conditions(path, v, reach))
     if op == "$elemMatch":
         if not isinstance(v, dict):
             raise EngineError("$elemMatch wants a document")
-        return reach(lambda c, t: two_valued(F.exists(c, lambda x: element(x, t.elementType, v))) if isinstance(t, T.ArrayType) else FALSE, FALSE)
+        return reach(lambda c, t: (F.exists(c, lambda x: element(x, t.elementType, v))) if isinstance(t, T.ArrayType) else F.lit(False), F.lit(False))
     raise EngineError(f"unknown operator {op}")
 
 
@@ -168,7 +168,7 @@ def element(x: Column, t: T.DataType, v: dict) -> Column:
     """Whether an array element satisfies an $elemMatch document: operators on itself, or a filter on its fields."""
     if is_operators(v) and not next(iter(v)) in ("$and", "$or", "$nor"):
         return conditions([], v, lambda leaf, missing: leaf(x, t))
-    return x.isNotNull() & compile_filter(v, t, x) if isinstance(t, T.StructType) else FALSE
+    return x.isNotNull() & compile_filter(v, t, x) if isinstance(t, T.StructType) else F.lit(False)
 
 
 def is_operators(v) -> bool:
@@ -176,7 +176,7 @@ def is_operators(v) -> bool:
 
 
 def conditions(path: list[str], operators: dict, reach) -> Column:
-    out = TRUE
+    out = F.lit(True)
     for op, v in operators.items():
         if not op.startswith("$"):
             raise EngineError(f"{op} among operators")
@@ -187,7 +187,7 @@ def conditions(path: list[str], operators: dict, reach) -> Column:
 
 def compile_filter(spec: dict | None, schema: T.StructType, root: Column | None = None) -> Column:
     """The predicate of a filter over rows of schema (or over the struct column `root`)."""
-    out = TRUE
+    out = F.lit(True)
     for name, v in (spec or {}).items():
         if name in ("$and", "$or", "$nor"):
             if not isinstance(v, (list, tuple)) or not v or not all(isinstance(x, dict) for x in v):
@@ -196,7 +196,7 @@ def compile_filter(spec: dict | None, schema: T.StructType, root: Column | None
             joined = parts[0]
             for p in parts[1:]:
                 joined = joined & p if name == "$and" else joined | p
-            out = out & (~joined if name == "$nor" else joined)
+            out = out & (negate(joined) if name == "$nor" else joined)
         elif name.startswith("$") or not name:
             raise EngineError(f"unknown operator {name!r}")
         else:
