@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from .textops import _DIGITS, U, _cumulative, mix, powers
+from .textops import _cumulative, _DIGITS, mix, powers, small_batches, U
 
 SIZES = (24, 24, 64)
 ENOUGH = 8
@@ -114,6 +114,7 @@ def edited_likeness(df, id_col: str = "doc_id", text_col: str = "text"):
     first document of each range is also sent to the range before it (a bounded number of ids reaches the driver).
     Texts travel compressed. Rows with equal ids follow each other by text; null ids come last.
     """
+    small_batches(df.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     docs = df.select(key.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = df.sparkSession

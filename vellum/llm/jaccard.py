@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .textops import LOWER, U, components, mix, shingle_sets, slices, stored
+from .textops import LOWER, U, components, mix, shingle_sets, slices, small_batches, stored
 
 CLASS_BITS, BLOCKS = 21, 128
 BLOCK_ROWS, FEW = 1000, 50
@@ -49,7 +49,7 @@ def overlap_needed(n: int, num: int, den: int) -> int:
 def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The shingles of the chosen prefix, their levels and the chosen l."""
     n = len(s)
-    often = counts[(s >> U(64 - CLASS_BITS)).astype(np.int64)]
+    often = counts[(s >> U(64 - CLASS_BITS)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((s, often))
     base = n - overlap_needed(n, num, den) + 1
     most = max(1, min(n - base + 1, base))
@@ -68,6 +68,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.nd
 
 def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool = True, id_col: str = "doc_id", text_col: str = "text"):
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest linked doc_id)."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches):
@@ -106,7 +107,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
 
     def prefixes(batches):
         seen: set[int] = set()
-        table = shared.value.astype(np.int64)
+        table = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             cols: list[list] = [[], [], [], [], [], []]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .textops import LOWER, slices, word_hashes, words
+from .textops import LOWER, slices, small_batches, word_hashes, words
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -141,6 +141,7 @@ def scan(df, templates=TEMPLATES, phrases=PHRASES, least: int = 3, gap: int = 12
 
     score: the largest share of a template that a span covers, or 1 where a fixed phrase stands.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = [(label, names_of(phrase)) for phrase, label in phrases.items()]
 

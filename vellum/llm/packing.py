@@ -22,6 +22,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from .textops import small_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 GROUP_TOKENS = 4_000_000
 _ODD = re.compile(r"\s\s|^\s|\s$| \s|\s ")
@@ -133,6 +135,7 @@ def pack(df, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", los
     """
     from pyspark.sql import functions as F
 
+    small_batches(df.sparkSession)
     limit = size if loss_limit is None else loss_limit
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(-1) if loss_col is None else F.coalesce(F.col(loss_col), F.lit(0))).cast("long").alias("loss"))
     names = [c.strip().split()[0] for c in SCHEMA.split(",")]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .textops import LOWER, U, slices, stored, word_hashes, words
+from .textops import LOWER, slices, small_batches, stored, U, word_hashes, words
 
 END = 255
 HOT_SHARE = 1 << 20
@@ -189,6 +189,7 @@ def score(df, depth: int = 4, held_out=None, id_col: str = "doc_id", text_col: s
     if not 2 <= depth <= 4:
         raise ValueError("depth must be 2 to 4")
     apart = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0 if held_out is None else held_out, F.lit(True))
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), apart.alias("held_out"), F.monotonically_increasing_id().alias("uid"))
     spark = df.sparkSession
 

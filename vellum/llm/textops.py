@@ -22,7 +22,7 @@ _DIGITS = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**64, 256,
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 2**64))
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +136,14 @@ def shared_folder(spark) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of texts, whose default of 10,000 rows is tens of MB in the JVM and again in Python. A session that
+    has its own setting keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def stored(df, name: str):
     """The rows of df as a Parquet table in the shared folder: cuts the lineage, outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

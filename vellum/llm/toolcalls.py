@@ -19,7 +19,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .textops import stored
+from .textops import small_batches, stored
 
 _KINDS = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -91,6 +91,7 @@ def link(calls, results, schemas: dict):
 
     One row per call: call_id, name, place, level, n_results, result, status, errors, json.
     """
+    small_batches(calls.sparkSession)
     calls = calls.select(F.col("call_id").cast("string"), "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), F.col("place").cast("long"))
     first = results.filter("call_id is not null").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct(F.col("place").cast("long").alias("place"), F.col("content").cast("string").alias("content"))).alias("r"), F.count(F.lit(1)).alias("n"))
     order = levels(calls)
