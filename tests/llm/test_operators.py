@@ -70,9 +70,12 @@ def test_multi_match_prefixes_lose_nothing():
         counts = rng.integers(0, 5, 1 << jaccard.CLASS_BITS)
         if 10 * len(np.intersect1d(a, b)) < 8 * len(np.union1d(a, b)):
             continue
-        (x, lx, ex), (y, ly, ey) = jaccard.prefix(a, counts, 8, 10), jaccard.prefix(b, counts, 8, 10)
-        ell = min(ex, ey)
-        assert len(np.intersect1d(x[lx <= ell], y[ly <= ell])) >= ell
+        (x, ex), (y, ey) = jaccard.prefix(a, counts, 8, 10), jaccard.prefix(b, counts, 8, 10)
+        ell, need = min(ex, ey), -(-(len(a) + len(b)) * 8 // 18)
+        assert len(np.intersect1d(x[: len(a) - need + ell], y[: len(b) - need + ell])) >= ell
+        assert len(np.intersect1d(x[: len(a) - need + 1], y[: len(b) - need + 1])) >= 1
+        differ = np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b)) <= len(a) + len(b) - 2 * need
 
 
 @pytest.mark.parametrize("size", [5, 50])

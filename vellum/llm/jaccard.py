@@ -8,11 +8,13 @@ Exact set similarity join of word shingles: documents link when |A & B| / |A | B
 3. Shingles are ordered by (class count, name): any order gives exact results, rare first gives few candidates.
    With overlap >= a = ceil(t*|A|), two sets share at least l shingles among the first |A| - a + l of each. Each
    set picks its own l from a ladder: the cost of a longer prefix against the expected candidates, the sum of
-   class counts in the prefix over l. A pair must share min(l, l') shingles among those of that level.
+   class counts in the prefix over l. A pair needs an overlap of o = ceil(t * (|A| + |B|) / (1 + t)), so it must share
+   min(l, l') shingles whose places in the two orders are among the first |A| - o + min(l, l') and |B| - o + min(l, l').
 4. Every set with a shared prefix shingle is verified against the shingle's first document; verified links are
    merged. Only pairs whose sets are still in different components go on: they are made in bounded blocks, with the
-   multi-match requirement counted per pair, and are verified exactly. So a group of near copies costs links in
-   proportion to its members, and no link between components is lost.
+   multi-match requirement counted per pair, and are verified exactly. A pair is left out only where it can't link:
+   its parity words (512 bits, each the parity of the shingles that hash to it) differ in more bits than the sets
+   may differ in shingles, or its first common shingle comes too late. No link between components is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer than n words are one
 shingle; ties and repeated rows are equal sets; an empty table gives an empty result; extra columns don't matter.
@@ -30,6 +32,7 @@ from .textops import LOWER, U, components, mix, shingle_sets, slices, small_batc
 
 CLASS_BITS, BLOCKS = 21, 128
 BLOCK_ROWS, FEW = 1000, 50
+PARITY = [f"b{k}" for k in range(8)]
 
 
 def _sets(batch, n, lower):
@@ -46,8 +49,15 @@ def overlap_needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The shingles of the chosen prefix, their levels and the chosen l."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """Eight words whose bits are the parities of the shingles that hash to them; two sets' differ in at most as many
+    bits as the sets do in shingles."""
+    odd = np.bincount((mix(s ^ U(0xA5A5A5A5A5A5A5A5)) >> U(64 - 9)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The shingles of the chosen prefix in order, and the chosen l."""
     n = len(s)
     often = counts[(s >> U(64 - CLASS_BITS)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((s, often))
@@ -62,8 +72,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.nd
         if cost is None or c < cost:
             best, cost = ell, c
         ell = max(ell + 1, ell * 3 // 2)
-    p = base + best - 1
-    return s[order[:p]], np.maximum(1, np.arange(p) - base + 2), best
+    return s[order[: base + best - 1]], best
 
 
 def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool = True, id_col: str = "doc_id", text_col: str = "text"):
@@ -74,19 +83,20 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     def sketch(batches):
         table = np.zeros(1 << CLASS_BITS, np.uint32)
         for batch in batches:
-            rows, sizes, sids = [], [], []
+            rows, sizes, sids, bits = [], [], [], []
             for r, s in _sets(batch, n, lower):
                 rows.append(r)
                 sizes.append(len(s))
                 sids.append(set_name(s))
+                bits.append(parity(s))
                 np.add.at(table, (s >> U(64 - CLASS_BITS)).astype(np.int64), 1)
             if rows:
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "sid", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), *[pa.array(b) for b in np.array(bits).T.copy()], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "sid", *PARITY, "block", "counts"])
         if table.any():
             z = zstandard.ZstdCompressor(3)
             parts = [z.compress(p.tobytes()) for p in np.split(table, BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * 3 + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "sid", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * (3 + len(PARITY)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "sid", *PARITY, "block", "counts"])
 
     def add_up(key, rows):
         total = np.zeros((1 << CLASS_BITS) // BLOCKS, np.uint64)
@@ -95,8 +105,10 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         part = zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([part], pa.binary())})
 
-    both = stored(docs.mapInArrow(sketch, "doc_id long, n long, sid long, block int, counts binary"), "sketch")
+    words = "".join(f"{b} long, " for b in PARITY)
+    both = stored(docs.mapInArrow(sketch, f"doc_id long, n long, sid long, {words}block int, counts binary"), "sketch")
     members = both.filter("block is null").select("doc_id", "n", "sid")
+    parities = both.filter("block is null and n > 0").select("sid", *PARITY)
     tables = both.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
     tables = tables.groupBy("block", "part").applyInArrow(add_up, "block int, counts binary").groupBy("block").applyInArrow(add_up, "block int, counts binary")
     counts = np.zeros(1 << CLASS_BITS, np.uint32)
@@ -116,35 +128,39 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
-                tokens, levels, ell = prefix(s, table, num, den)
+                tokens, ell = prefix(s, table, num, den)
                 k = len(tokens)
-                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, ids[r] if ids[r] is not None else 2**62), np.full(k, len(s), np.int32), levels.astype(np.int16), np.full(k, ell, np.int16)), strict=True):
+                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, ids[r] if ids[r] is not None else 2**62), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, ell, np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "doc", "n", "level", "ell"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "doc", "n", "pos", "ell"])
 
     token = Window.partitionBy("token")
-    rows = docs.mapInArrow(prefixes, "token long, sid long, doc long, n int, level short, ell short")
-    rows = rows.repartition("token").groupBy("token", "sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("ell").alias("ell"))
-    rows = rows.withColumn("k", F.count("sid").over(token)).filter("k > 1").withColumn("lead", F.min(F.struct("doc", "sid", "n", "level", "ell")).over(token))
+    rows = docs.mapInArrow(prefixes, "token long, sid long, doc long, n int, pos int, ell int")
+    rows = rows.repartition("token").groupBy("token", "sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("ell").alias("ell"))
+    rows = rows.withColumn("k", F.count("sid").over(token)).filter("k > 1").withColumn("lead", F.min(F.struct("doc", "sid", "n", "pos", "ell")).over(token))
     rows = stored(rows, "prefix")
 
-    fits = F.col("n_a") * den >= F.col("n_b") * num
-    fits &= F.col("n_b") * den >= F.col("n_a") * num
+    n_a, n_b = F.col("n_a").cast("long"), F.col("n_b").cast("long")
+    needed_overlap = F.ceil((n_a + n_b) * num / F.lit(num + den))
+    asked = F.least("ell_a", "ell_b")
+    fits = (n_a * den >= n_b * num) & (n_b * den >= n_a * num)
+    fits &= (F.col("pos_a") < n_a - needed_overlap + asked) & (F.col("pos_b") < n_b - needed_overlap + asked)
+    differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITY), F.lit(0))
+    similar = differ <= n_a + n_b - 2 * needed_overlap
 
     def enough(pairs):
-        """Pairs a < b that share as many prefix shingles of the pair's level as it asks for; k: of the row's shingles."""
-        return pairs.filter(fits & (F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ell_a", "ell_b")).alias("asked"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        """Pairs a < b that share as many prefix shingles as asked for; first_a, first_b: the place of the first one."""
+        shared = pairs.filter(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("pos_a").alias("first_a"), F.min("pos_b").alias("first_b"))
+        return shared.filter("shared >= asked")
 
     swap = F.col("sid") > F.col("lead.sid")
     pick = lambda own, lead: F.when(swap, F.col(lead)).otherwise(F.col(own))
     star = rows.filter(F.col("sid") != F.col("lead.sid")).select(
-        *[F.when(swap, F.col(f"lead.{c}")).otherwise(F.col(c)).alias(f"{o}a") for c, o in (("sid", ""), ("n", "n_"), ("level", "level_"), ("ell", "ell_"))],
-        *[F.when(swap, F.col(c)).otherwise(F.col(f"lead.{c}")).alias(f"{o}b") for c, o in (("sid", ""), ("n", "n_"), ("level", "level_"), ("ell", "ell_"))],
+        *[F.when(swap, F.col(f"lead.{c}")).otherwise(F.col(c)).alias(f"{o}a") for c, o in (("sid", ""), ("n", "n_"), ("pos", "pos_"), ("ell", "ell_"))],
+        *[F.when(swap, F.col(c)).otherwise(F.col(f"lead.{c}")).alias(f"{o}b") for c, o in (("sid", ""), ("n", "n_"), ("pos", "pos_"), ("ell", "ell_"))],
     )
-    star = enough(star).filter("shared >= asked")
-
-    star = stored(star.select("a", "b", "n_a", "n_b"), "pairs")
+    star = stored(enough(star).select("a", "b", "n_a", "n_b"), "pairs")
     firsts = stored(rows.groupBy("sid").agg(F.min("doc").alias("doc")), "firsts")
     own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**62))).select("doc", "text")
 
@@ -189,33 +205,42 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
     marked = stored(marked, "marked")
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
-    both = stored(marked.join(mixed, "token"), "mixed")
+    both = stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
     few = both.filter(F.col("k") <= FEW).drop("k")
-    x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "level", "ell", "label")]) for o in "ab")
-    pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b")
-    pairs = pairs.withColumnRenamed("sid_a", "a").withColumnRenamed("sid_b", "b").drop("token", "label_a", "label_b")
+    x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "pos", "ell", "label", *PARITY)]) for o in "ab")
+    pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b").filter(fits & similar)
+    pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), *[f"{c}_{o}" for o in "ab" for c in ("n", "pos", "ell")])
     many = both.filter(F.col("k") > FEW).withColumn("parts", F.ceil(F.col("k") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
     def pairs_of(key, table):
-        c = {k: table.column(k).to_numpy() for k in ("sid", "n", "level", "ell", "label", "part")}
+        c = {k: table.column(k).to_numpy().astype(np.int64) for k in ("sid", "n", "pos", "ell", "label", "part")}
+        bits = np.column_stack([table.column(b).to_numpy() for b in PARITY]).view(U)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(c["part"] == i), np.flatnonzero(c["part"] == j)
-        x, y = np.meshgrid(left, right, indexing="ij")
-        x, y = x.ravel(), y.ravel()
-        keep = (c["label"][x] != c["label"][y]) & (c["n"][x] * den >= c["n"][y] * num) & (c["n"][y] * den >= c["n"][x] * num)
-        keep &= np.maximum(c["level"][x], c["level"][y]) <= np.minimum(c["ell"][x], c["ell"][y])
-        if i == j:
-            keep &= c["sid"][x] < c["sid"][y]
-        x, y = x[keep], y[keep]
+        found = []
+        for at in range(0, len(left), 64):
+            x, y = (z.ravel() for z in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+            keep = (c["label"][x] != c["label"][y]) & (c["n"][x] * den >= c["n"][y] * num) & (c["n"][y] * den >= c["n"][x] * num)
+            if i == j:
+                keep &= c["sid"][x] < c["sid"][y]
+            x, y = x[keep], y[keep]
+            both_n, ask = c["n"][x] + c["n"][y], np.minimum(c["ell"][x], c["ell"][y])
+            need = -(-both_n * num // (num + den))
+            keep = (c["pos"][x] < c["n"][x] - need + ask) & (c["pos"][y] < c["n"][y] - need + ask)
+            x, y, most = x[keep], y[keep], (both_n - 2 * need)[keep]
+            keep = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+            found.append((x[keep], y[keep]))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         flip = c["sid"][x] > c["sid"][y]
         x, y = np.where(flip, y, x), np.where(flip, x, y)
-        return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z]) for z in (x, y) for k in ("n", "level", "ell")], names=["a", "b", "n_a", "level_a", "ell_a", "n_b", "level_b", "ell_b"])
+        return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z].astype(np.int32)) for z in (x, y) for k in ("n", "pos", "ell")], names=["a", "b", "n_a", "pos_a", "ell_a", "n_b", "pos_b", "ell_b"])
 
-    rest = spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, level_a short, ell_a short, n_b int, level_b short, ell_b short")
+    rest = spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, pos_a int, ell_a int, n_b int, pos_b int, ell_b int")
     rest = pairs.unionByName(rest)
-    rest = stored(enough(rest).filter("shared >= asked").select("a", "b", "n_a", "n_b"), "pairs")
+    early = (F.col("first_a") <= n_a - needed_overlap) & (F.col("first_b") <= n_b - needed_overlap)
+    rest = stored(enough(rest).filter(early).select("a", "b", "n_a", "n_b"), "pairs")
     more = stored(verified(rest), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
