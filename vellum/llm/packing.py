@@ -16,7 +16,7 @@ rows are packed again, each alone; an empty table gives an empty result; further
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
@@ -26,7 +26,13 @@ from .textops import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 GROUP_TOKENS = 4_000_000
-_ODD = re.compile(r"\s\s|^\s|\s$| \s|\s ")
+_ENCODERS: dict = {}
+
+
+def single_spaced(text: str) -> bool:
+    """Whether white space stands between words only, one character each time."""
+    words = text.split()
+    return len(text) == len("".join(words)) + len(words) - 1
 
 
 class Encoder:
@@ -38,27 +44,51 @@ class Encoder:
 
         self.tokenizer, self.kept, self.most = Tokenizer.from_file(path), {}, most
         self.tokenizer.encode_special_tokens = True
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str], group: int = 256) -> list[bytes]:
+        """Parts without line ends are encoded many at a time: a line end between them is one token of its own."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if "\n" not in p] if len(self.line) == 1 else []
+        for at in range(0, len(plain), group):
+            some = plain[at : at + group]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line[0]).tolist()
+            if len(ends) == len(some) - 1:
+                data = ids.tobytes()
+                out.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0] + [e + 1 for e in ends], ends + [len(ids)], strict=True)), strict=True))
+        rest = [p for p in parts if p not in out]
+        out.update(zip(rest, self._encode(rest), strict=True))
+        return [out[p] for p in parts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
         if len(kept) > self.most:
             kept.clear()
         split: list[list[str] | None] = []
         for t in texts:
-            if not t or _ODD.search(t):
+            if not t or not single_spaced(t):
                 split.append(None)
             else:
                 parts = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None
                 split.append(parts)
         new = list({p for parts in split if parts for p in parts if p not in kept})
-        kept.update(zip(new, self._encode(new), strict=True))
+        kept.update(zip(new, self._encode_parts(new), strict=True))
         whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(kept.__getitem__, p)) for p in split]
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps what earlier tasks encoded; one thread, as tasks share the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def fill(tokens: np.ndarray, loss: np.ndarray, size: int, segments: int, loss_limit: int):
     """Places items into sequences: a list of sequences, each a list of (item, start, length).
 
@@ -143,7 +173,7 @@ def pack(df, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", los
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, serial = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, serial = encoder_of(tokenizer), TaskContext.get().partitionId() << 40
         ids: list = []
         data: list[bytes] = []
         loss: list[int] = []
