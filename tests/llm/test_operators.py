@@ -1,5 +1,6 @@
 """The ten operators against brute force, on small tables with nulls, ties, repeats and very long texts."""
 
+import base64
 import hashlib
 import json
 import math
@@ -341,3 +342,27 @@ def test_empty_tables_of_other_kinds(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
     for name in ("op3_language_evidence", "op6_tool_calls", "op4_vector_groups"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_language_rejects_other_languages(spark):
+    held = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(held)
+    rng = np.random.default_rng(7)
+    texts = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        base64.b64encode(rng.bytes(400)).decode(),
+        "".join(chr(x) for x in rng.integers(97, 123, 300)),
+    ]
+    planted = spark.createDataFrame([(-1 - i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = language.identify(held.select(*planted.columns).union(planted), model, "doc_id", "text", declared_col="lang", host_col="source").collect()
+    letters = {r.doc_id for r in found if r.n_letters}
+    assert {r.doc_id for r in found if r.rejected and r.doc_id in letters} == {-1 - i for i in range(len(texts))}
+    assert all(r.lang == "und" and r.probability == 0 for r in found if r.doc_id < 0)
+
+
+def test_language_posterior_limit(spark):
+    model = language.fit(spark.createDataFrame([("abc abc abc", "x"), ("abc abc abc", "y")], "text string, lang string"))
+    rows = spark.createDataFrame([(1, "abc abc")], "id long, text string")
+    assert language.identify(rows, model, "id", "text", least=0.2).first().rejected and not language.identify(rows, model, "id", "text", least=0.0).first().rejected

@@ -7,7 +7,11 @@ language, by suffix and by host, each smoothed towards the level above (host to
 all), so that a host with few pages follows its domain. The posterior is the normalised product.
 
 The text model counts 2**14 trigram classes of every labelled document; the 32 most frequent labels take part.
-Rejected are rows without letters, and rows whose posterior is below `least`.
+Rejected are rows without letters, rows that no language fits, and rows whose posterior is below a limit. A language
+fits if the mean log-likelihood of the row's trigrams isn't below that of equally likely classes, or, where the language's
+own labelled documents (each scored without its own counts) do worse, below their usual range; less three standard
+errors for the number of distinct trigrams, so texts too short or monotonous to tell aren't rejected by that. Rows that
+no language fits are 'und' and don't count in any prior.
 
 Edge cases: null and empty texts have no letters and are rejected as 'und'; null evidence is its own value; ties go to
 the first language in alphabetical order; without labelled rows everything is 'und'; an empty table gives an
@@ -72,29 +76,67 @@ def fit(labelled, text_col: str = "text", label_col: str = "lang", languages: in
         summed = counts.select("lang", "part", F.posexplode("n")).groupBy("lang", "part", "pos").agg(F.sum("col").alias("n")).filter("n > 0")
         got = summed.toArrow()
         table[got.column("lang").to_numpy(), got.column("part").to_numpy() * width + got.column("pos").to_numpy()] += got.column("n").to_numpy()
-    return names, np.log(table / table.sum(1, keepdims=True)) if names else table
+    logs = np.log(table / table.sum(1, keepdims=True)) if names else table
+    return names, logs, _usual(rows, number, table) if names else np.zeros((3, 0))
+
+
+def _distinct(code: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """How many distinct classes each of m rows has."""
+    seen = np.zeros(m * CLASSES, bool)
+    seen[row * CLASSES + code] = True
+    return np.count_nonzero(seen.reshape(m, CLASSES), axis=1)
+
+
+def _usual(rows, number: dict, table: np.ndarray) -> np.ndarray:
+    """Three numbers of each language: median, spread below it, and variance in a document, of the log-likelihood a
+    trigram of its own documents, each scored without its own counts."""
+    sent = rows.sparkSession.sparkContext.broadcast((table, table.sum(1)))
+
+    def score(batches):
+        counts, sums = sent.value
+        for batch in batches:
+            lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            for at, buf, offs in slices(batch.column("text")):
+                code, row, _ = trigrams(buf, offs)
+                m = len(offs) - 1
+                key, times = np.unique(row * CLASSES + code, return_counts=True)
+                row, code = key // CLASSES, key % CLASSES
+                of, size = lang[at + row], np.bincount(row, times, m)
+                x = np.log(counts[of, code] - times) - np.log(sums[of] - size[row])
+                mean = np.bincount(row, times * x, m) / np.maximum(size, 1)
+                within = np.bincount(row, times * (x - mean[row]) ** 2, m) / np.maximum(size, 1)
+                keep = np.flatnonzero((size > 0) & (lang[at : at + m] >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(lang[at + keep], pa.int32()), pa.array(mean[keep]), pa.array(within[keep])], ["lang", "mean", "within"])
+
+    found = rows.mapInArrow(score, "lang int, mean double, within double").groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.5], 1000).alias("at"), F.percentile_approx("within", 0.5, 1000).alias("within"))
+    usual = np.full((3, len(number)), np.array([[0.0], [np.inf], [0.0]]))
+    for r in found.collect():
+        usual[:, r.lang] = r.at[1], (r.at[1] - r.at[0]) / 0.6745, r.within
+    return usual
 
 
 def _text_of(page: str) -> str:
     return entities.unescape(_HIDDEN.sub(" ", page))
 
 
-def identify(df, model, id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, is_html: bool = False, least: float = 0.2, temper: float = 0.25, strength: float = 20.0):
+def identify(df, model, id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, is_html: bool = False, least: float = 0.2, temper: float = 0.25, strength: float = 20.0, far: float = 6.0):
     """One row per row of df: id_col, lang, probability, text_lang, declared, suffix, host, n_letters, rejected.
 
     is_html: text_col holds markup, whose text and declared language are taken. temper: power of the text
-    likelihood, whose trigrams overlap. strength: rows that a level of the host prior weighs as much as.
+    likelihood, whose trigrams overlap. strength: rows that a level of the host prior weighs as much as. least: limit
+    of the posterior, which is also that part above chance (1/languages) at least. far: spreads below the
+    median that are the usual range of a language's own documents.
     """
     small_batches(df.sparkSession)
-    names, logs = model
+    names, logs, usual = model
     n = len(names)
-    sent = df.sparkSession.sparkContext.broadcast(logs)
+    sent = df.sparkSession.sparkContext.broadcast((logs, usual))
     column = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
     rows = df.select(F.col(id_col).alias("id"), column(text_col).alias("text"), column(declared_col).alias("declared"), column(url_col).alias("url"), column(host_col).alias("host"))
     kind = df.schema[id_col].dataType.simpleString()
 
     def read(batches):
-        table = sent.value
+        table, (median, spread, within) = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -108,27 +150,31 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
                     hosts[i] = hosts[i] or (m[1].lower() if m else None)
                     suffixes.append(f"{hosts[i].rpartition('.')[2]}/{(m[2] or '').lower()}" if m else None)
                 domains = [".".join(h.split(".")[-2:]) if h else None for h in hosts]
-                scores, letters = np.zeros((part.num_rows, n)), np.zeros(part.num_rows, np.int64)
+                scores, letters, fits = np.zeros((part.num_rows, n)), np.zeros(part.num_rows, np.int64), np.ones(part.num_rows, bool)
                 for lo, buf, offs in slices(text):
                     code, row, had = trigrams(buf, offs)
                     m = len(offs) - 1
                     letters[lo : lo + m] = had
                     for k in range(n):
                         scores[lo : lo + m, k] = np.bincount(row, table[k][code], m)
+                    # trigrams overlap by three, and repeated ones tell nothing new
+                    all_, own = np.bincount(row, minlength=m)[:, None], np.maximum(_distinct(code, row, m), 1)[:, None]
+                    least_mean = np.minimum(-np.log(CLASSES), median - far * spread) - 3 * np.sqrt(3 * within / own)
+                    fits[lo : lo + m] = (scores[lo : lo + m] >= all_ * least_mean).any(1)
                 logit = temper * scores
                 logit -= logit.max(1, keepdims=True) if n else 0
                 q = np.exp(logit)
                 q = q / q.sum(1, keepdims=True) if n else q
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array([x.lower() if x else None for x in declared], pa.string()), pa.array(suffixes, pa.string()), pa.array(domains, pa.string()), pa.array(hosts, pa.string()),
-                    pa.array(letters), pa.array(list(logit), pa.list_(pa.float64())), pa.array(list(q), pa.list_(pa.float64())),
-                ], ["id", "declared", "suffix", "domain", "host", "n_letters", "logit", "q"])
+                    pa.array(letters), pa.array(fits), pa.array(list(logit), pa.list_(pa.float64())), pa.array(list(q), pa.list_(pa.float64())),
+                ], ["id", "declared", "suffix", "domain", "host", "n_letters", "fits", "logit", "q"])
 
-    read_rows = stored(rows.mapInArrow(read, f"id {kind}, declared string, suffix string, domain string, host string, n_letters long, logit array<double>, q array<double>"), "evidence")
+    read_rows = stored(rows.mapInArrow(read, f"id {kind}, declared string, suffix string, domain string, host string, n_letters long, fits boolean, logit array<double>, q array<double>"), "evidence")
     out = [F.col("id").alias(id_col)]
     if not n:
         return read_rows.select(*out, F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_lang"), "declared", "suffix", "host", "n_letters", F.lit(True).alias("rejected"))
-    known = F.when(F.col("n_letters") > 0, F.col("q"))
+    known = F.when((F.col("n_letters") > 0) & F.col("fits"), F.col("q"))
     spread = read_rows.withColumn("q", F.coalesce(known, F.array(*[F.lit(0.0)] * n)))
     spread = spread.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "suffix", "domain", "host")], *[F.col("q")[k].alias(f"q{k}") for k in range(n)])
     sums = lambda *keys: spread.groupBy(*keys).agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(n)])
@@ -165,7 +211,8 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     both = both.withColumn("probability", F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     codes = F.array(*[F.lit(x) for x in names])
     pick = lambda a, m: F.get(codes, (F.array_position(a, m) - 1).cast("int"))
-    lettered = F.col("n_letters") > 0
-    both = both.withColumn("lang", F.when(lettered, pick(F.col("score"), F.col("top"))).otherwise("und")).withColumn("text_lang", F.when(lettered, pick(F.col("q"), F.array_max("q"))).otherwise("und"))
-    p = F.when(lettered, F.col("probability")).otherwise(0.0)
-    return both.select(*out, "lang", p.alias("probability"), "text_lang", "declared", "suffix", "host", "n_letters", (~lettered | (p < least)).alias("rejected"))
+    named = (F.col("n_letters") > 0) & F.col("fits")
+    limit = max(least, (1 + least * (1 - 1 / n)) / n)
+    both = both.withColumn("lang", F.when(named, pick(F.col("score"), F.col("top"))).otherwise("und")).withColumn("text_lang", F.when(named, pick(F.col("q"), F.array_max("q"))).otherwise("und"))
+    p = F.when(named, F.col("probability")).otherwise(0.0)
+    return both.select(*out, "lang", p.alias("probability"), "text_lang", "declared", "suffix", "host", "n_letters", (~named | (p < limit)).alias("rejected"))
