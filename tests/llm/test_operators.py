@@ -366,3 +366,10 @@ def test_language_posterior_limit(spark):
     model = language.fit(spark.createDataFrame([("abc abc abc", "x"), ("abc abc abc", "y")], "text string, lang string"))
     rows = spark.createDataFrame([(1, "abc abc")], "id long, text string")
     assert language.identify(rows, model, "id", "text", least=0.2).first().rejected and not language.identify(rows, model, "id", "text", least=0.0).first().rejected
+
+
+def test_declared_language_anywhere_in_the_page(spark, docs):
+    late = '<?xml version="1.0"?><!-- ' + "licence " * 2000 + '<html lang="de"> --><script>var x = "<html lang=es>"</script>' + " " * 5000 + '<html class="a" lang="fr"><p>le</p></html>'
+    pages = spark.createDataFrame([(1, late), (2, "<p>le</p>" * 1000)], "id int, h string")
+    got = {r.id: r.declared for r in language.identify(pages, language.fit(docs), "id", "h", is_html=True).collect()}
+    assert got == {1: "fr", 2: None}

@@ -34,6 +34,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|noscript)\b.*?</\1\s*>|<[^>]*>")
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_UNSHOWN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\Z)")
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]+)(?::\d+)?(?:/([a-z]{2})(?=[/?#]|$))?")
 
 
@@ -119,6 +120,12 @@ def _text_of(page: str) -> str:
     return entities.unescape(_HIDDEN.sub(" ", page))
 
 
+def _declared_by(page: str) -> str | None:
+    """The language of the markup's html tag, wherever it stands outside comments, scripts and styles."""
+    m = _DECLARED.search(_UNSHOWN.sub(" ", page))
+    return m[1] if m else None
+
+
 def identify(df, model, id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, is_html: bool = False, least: float = 0.2, temper: float = 0.25, strength: float = 20.0, far: float = 6.0):
     """One row per row of df: id_col, lang, probability, text_lang, declared, suffix, host, n_letters, rejected.
 
@@ -143,7 +150,7 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
                 declared, text, hosts, suffixes = part.column("declared").to_pylist(), part.column("text"), part.column("host").to_pylist(), []
                 if is_html:
                     pages = [x or "" for x in text.to_pylist()]
-                    declared = [d or ((m := _DECLARED.search(p[:4096])) and m[1]) or None for d, p in zip(declared, pages, strict=True)]
+                    declared = [d or _declared_by(p) or None for d, p in zip(declared, pages, strict=True)]
                     text = pa.array([_text_of(p) for p in pages], pa.string())
                 for i, url in enumerate(part.column("url").to_pylist()):
                     m = _ADDRESS.match(url or "")
