@@ -373,3 +373,28 @@ def test_declared_language_anywhere_in_the_page(spark, docs):
     pages = spark.createDataFrame([(1, late), (2, "<p>le</p>" * 1000)], "id int, h string")
     got = {r.id: r.declared for r in language.identify(pages, language.fit(docs), "id", "h", is_html=True).collect()}
     assert got == {1: "fr", 2: None}
+
+
+def test_tool_results_without_a_call_and_all_results(spark):
+    calls = spark.createDataFrame([("a", "add", "{}", None, 0), ("b", "add", "{}", ["a"], 4)], "call_id string, name string, arguments string, after array<string>, place long")
+    results = spark.createDataFrame([("a", "late", 9), ("a", "first", 1), ("x", "2", 6), ("x", "1", 5), (None, "lost", 3), (None, "gone", 2)], "call_id string, content string, place long")
+    got = sorted(((r.call_id, r.status, r.place, r.level, r.n_results, r.result, r.results) for r in toolcalls.link(calls, results, {"add": {"type": "object"}}).collect()), key=str)
+    assert got == sorted([
+        ("a", "ok", 0, 0, 2, "first", ["first", "late"]), ("b", "no_result", 4, 1, 0, None, []), ("x", "no_call", 5, None, 2, "1", ["1", "2"]),
+        (None, "no_call", 3, None, 1, "lost", ["lost"]), (None, "no_call", 2, None, 1, "gone", ["gone"]),
+    ], key=str)
+
+
+def test_answers_belong_to_the_latest_user_turn(spark):
+    roles = {1: "aua asuuaa", 2: "u" + "a" * 700, 3: "u" + " " * 900 + "a"}
+    rows = [(c, t, {"u": "user", "a": "assistant", "s": "system"}[x], f"{x}{t}") for c, line in roles.items() for t, x in enumerate(line) if x != " "]
+    calls, results = toolcalls.calls_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = Counter()
+    for c, line in roles.items():
+        for t, x in enumerate(line):
+            if x == "a":
+                asked = line.rfind("u", 0, t)
+                want[f"{c}:{asked}" if asked >= 0 else None, f"a{t}"] += 1
+    assert Counter((r.call_id, r.content) for r in results.collect()) == want
+    rows = toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS).collect()
+    assert sum(r.n_results for r in rows) == sum(want.values()) and {r.status for r in rows if r.call_id is None} == {"no_call"}

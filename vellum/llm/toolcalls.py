@@ -5,10 +5,12 @@ level; arguments are validated against the tool's schema; each linked call is se
 keys, no blanks, shortest numbers, UTF-8). Identifiers spread the work, so a very long conversation isn't one task.
 
 Statuses: ok, no_result, unknown_tool, bad_json, invalid_arguments, missing_dependency, cycle (the first that holds,
-from the last to the first of: order, arguments, result).
+from the last to the first of: order, arguments, result); no_call for results without a call.
 
-Edge cases: null identifiers link with nothing and get level 0; several results of one call: the first by place, and
-their number; repeated call identifiers are each linked; null arguments are {}; an empty table gives an empty result.
+Edge cases: null identifiers link with nothing: such calls get level 0, such results a row each; several results of one
+call: all in `results` by place, their number, and the first in `result` and the JSON; results whose identifier no call
+has: one row for each identifier, without JSON; repeated call identifiers are each linked; null arguments are {}; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import math
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .textops import small_batches, stored
@@ -89,40 +92,52 @@ def levels(calls):
 def link(calls, results, schemas: dict):
     """calls: call_id, name, arguments (JSON text), after (array of call ids), place. results: call_id, content, place.
 
-    One row per call: call_id, name, place, level, n_results, result, status, errors, json.
+    One row per call and per identifier of results without a call: call_id, name, place, level, n_results, result,
+    status, errors, json, results.
     """
     small_batches(calls.sparkSession)
     calls = calls.select(F.col("call_id").cast("string"), "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), F.col("place").cast("long"))
-    first = results.filter("call_id is not null").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct(F.col("place").cast("long").alias("place"), F.col("content").cast("string").alias("content"))).alias("r"), F.count(F.lit(1)).alias("n"))
+    results = results.select(F.col("call_id").cast("string"), F.struct(F.col("place").cast("long").alias("place"), F.col("content").cast("string").alias("content")).alias("r"))
+    of_call = results.filter("call_id is not null").groupBy("call_id").agg(F.sort_array(F.collect_list("r")).alias("results"))
     order = levels(calls)
     waits = calls.select("call_id", F.explode("after").alias("on")).join(calls.select(F.col("call_id").alias("on"), F.lit(True).alias("there")).distinct(), "on", "left").groupBy("call_id").agg(F.max(F.col("there").isNull()).alias("lacks"))
-    rows = calls.join(first, "call_id", "left").join(order, "call_id", "left").join(waits.filter("lacks"), "call_id", "left")
+    called = calls.withColumn("called", F.lit(True)).join(of_call, "call_id", "full_outer")
+    rows = called.join(order, "call_id", "left").join(waits.filter("lacks"), "call_id", "left")
     rows = rows.withColumn("level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")))
+    lost = results.filter("call_id is null").select("call_id", F.array("r").alias("results"))
+    rows = lost.unionByName(rows, allowMissingColumns=True)
 
     def check(batches):
         for batch in batches:
             out: list[list] = [[], [], []]
             for x in batch.to_pylist():
-                errors, status, text = [], "ok" if x["n"] else "no_result", None
+                errors, status, text = [], "ok" if x["results"] else "no_result", None
+                if not x["called"]:
+                    for c, v in zip(out, ("no_call", [f"no call {x['call_id']}"], None), strict=True):
+                        c.append(v)
+                    continue
                 try:
                     arguments = json.loads(x["arguments"] or "{}")
                     if x["name"] not in schemas:
                         status, errors = "unknown_tool", [f"no tool {x['name']}"]
                     elif errors := violations(arguments, schemas[x["name"]]):
                         status = "invalid_arguments"
-                    text = canonical({"id": x["call_id"], "name": x["name"], "arguments": arguments, "after": sorted(set(x["after"])), "result": x["r"] and x["r"]["content"]})
+                    text = canonical({"id": x["call_id"], "name": x["name"], "arguments": arguments, "after": sorted(set(x["after"])), "result": x["results"][0]["content"] if x["results"] else None})
                 except (ValueError, RecursionError) as e:
                     status, errors = "bad_json", [str(e)[:200]]
                 if x["level"] is None:
                     status = "missing_dependency" if x["lacks"] else "cycle"
                 for c, v in zip(out, (status, errors, text), strict=True):
                     c.append(v)
-            content = [r and r["content"] for r in batch.column("r").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("call_id"), batch.column("name"), batch.column("place"), batch.column("level").cast(pa.int32()), pa.array([n or 0 for n in batch.column("n").to_pylist()], pa.int64()), pa.array(content, pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string())], ["call_id", "name", "place", "level", "n_results", "result", "status", "errors", "json"])
+            contents = [[r["content"] for r in x or ()] for x in batch.column("results").to_pylist()]
+            content = [x[0] if x else None for x in contents]
+            place = [r[0]["place"] if r and not c else p for r, c, p in zip(*(batch.column(k).to_pylist() for k in ("results", "called", "place")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("call_id"), batch.column("name"), pa.array(place, pa.int64()), batch.column("level").cast(pa.int32()), pa.array([len(x) for x in contents], pa.int64()), pa.array(content, pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string()), pa.array(contents, pa.list_(pa.string()))], ["call_id", "name", "place", "level", "n_results", "result", "status", "errors", "json", "results"])
 
-    return rows.mapInArrow(check, "call_id string, name string, place long, level int, n_results long, result string, status string, errors array<string>, json string")
+    return rows.mapInArrow(check, "call_id string, name string, place long, level int, n_results long, result string, status string, errors array<string>, json string, results array<string>")
 
 
+SPAN = 256
 #: Tools of the turns of a conversation, as calls_of_turns makes them.
 TURN_SCHEMAS = {
     "open": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
@@ -131,9 +146,11 @@ TURN_SCHEMAS = {
 
 
 def calls_of_turns(conversations):
-    """User turns as calls and the assistant turns that directly follow them as results, by conversation and turn.
+    """User turns as calls, and each assistant turn as a result of the latest user turn before it in its conversation.
 
-    A conversation's first user turn opens it; its later ones depend on that.
+    A conversation's first user turn opens it; its later ones depend on that. The latest user turn is sought in spans of
+    SPAN turns, then in the last user turns of the spans, so that a very long conversation isn't one task. Assistant turns
+    that no user turn precedes are results without a call.
     """
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     user = conversations.filter("role = 'user'").select("conv_id", "turn", "text")
@@ -141,5 +158,11 @@ def calls_of_turns(conversations):
     user = user.join(opened, "conv_id", "left").withColumn("opener", F.when(F.col("turn") > F.col("first"), name(F.col("first"))))
     arguments = F.when(F.col("opener").isNull(), F.to_json(F.struct("text", "turn"))).otherwise(F.to_json(F.struct("text", "turn", F.col("opener").alias("opened_by"))))
     calls = user.select(name(F.col("turn")).alias("call_id"), F.when(F.col("opener").isNull(), "open").otherwise("follow_up").alias("name"), arguments.alias("arguments"), F.when(F.col("opener").isNotNull(), F.array("opener")).alias("after"), F.col("turn").alias("place"))
-    results = conversations.filter("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("place"))
+    turns = conversations.filter("role in ('user', 'assistant')").select("conv_id", "turn", F.floor(F.col("turn") / SPAN).alias("span"), F.when(F.col("role") == "user", F.col("turn")).alias("asked"), F.when(F.col("role") == "assistant", F.col("text")).alias("content"), (F.col("role") == "assistant").alias("answers"))
+    earlier = Window.partitionBy("conv_id", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    answers = turns.withColumn("latest", F.max("asked").over(earlier)).filter("answers")
+    spans = turns.groupBy("conv_id", "span").agg(F.max("asked").alias("asked"))
+    before = spans.withColumn("before", F.max("asked").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.filter("before is not null").select("conv_id", "span", "before")
+    results = answers.join(before, ["conv_id", "span"], "left").select(name(F.coalesce("latest", "before")).alias("call_id"), "content", F.col("turn").alias("place"))
     return calls, results
