@@ -398,3 +398,15 @@ def test_answers_belong_to_the_latest_user_turn(spark):
     assert Counter((r.call_id, r.content) for r in results.collect()) == want
     rows = toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS).collect()
     assert sum(r.n_results for r in rows) == sum(want.values()) and {r.status for r in rows if r.call_id is None} == {"no_call"}
+
+
+def test_packing_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "one <|endoftext|>\n two", " <|endoftext|>  <|endoftext|> end", "plain words here"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()
+    for r in rows:
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))

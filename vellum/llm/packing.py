@@ -37,13 +37,13 @@ def single_spaced(text: str) -> bool:
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes. A space between two characters that aren't white space always starts a
-    new pre-token of this byte-level pattern, so the parts between such spaces are encoded once and kept."""
+    new pre-token of this byte-level pattern, so the parts between such spaces are encoded once and kept. The file's added
+    tokens hold no space and get their own ids wherever a text has them."""
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.most = Tokenizer.from_file(path), {}, most
-        self.tokenizer.encode_special_tokens = True
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
