@@ -410,3 +410,16 @@ def test_packing_added_token(spark):
     for r in rows:
         ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
+
+
+@pytest.mark.parametrize("n", [40, 130])
+def test_every_label_is_fitted(spark, n):
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(8 * n)]
+    say = lambda k, m: " ".join(words[8 * k + int(i)] for i in rng.integers(0, 8, m))
+    rows = [(f"l{k:03}", say(k, 30)) for k in range(n) for _ in range(2 + (k < 32))]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model[0] == [f"l{k:03}" for k in range(n)]
+    held = spark.createDataFrame([(k, say(k, 20)) for k in range(n)], "id int, text string")
+    got = {r.id: r for r in language.identify(held, model, "id", "text").collect()}
+    assert all(got[k].lang == f"l{k:03}" and not got[k].rejected for k in range(n))

@@ -6,7 +6,9 @@ model come from grouped aggregation of the text posteriors over the whole table:
 language, by suffix and by host, each smoothed towards the level above (host to domain, domain to suffix, suffix to
 all), so that a host with few pages follows its domain. The posterior is the normalised product.
 
-The text model counts 2**14 trigram classes of every labelled document; the 32 most frequent labels take part.
+The text model counts 2**14 trigram classes of every labelled document, for every label. It is made and sent in blocks
+of labels, so that the driver works on one block at a time; a worker reads all, 128 kB a label. A row's scores and
+posteriors are arrays with one place a label.
 Rejected are rows without letters, rows that no language fits, and rows whose posterior is below a limit. A language
 fits if the mean log-likelihood of the row's trigrams isn't below that of equally likely classes, or, where the language's
 own labelled documents (each scored without its own counts) do worse, below their usual range; less three standard
@@ -25,11 +27,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from .textops import LOWER, slices, small_batches, stored
 
 CLASSES = 1 << 14
+BLOCK = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|noscript)\b.*?</\1\s*>|<[^>]*>")
@@ -53,32 +58,55 @@ def trigrams(buf: np.ndarray, offs: np.ndarray):
     return ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)[same], rows[:-2][same], np.bincount(rows[x != 32], minlength=len(offs) - 1)
 
 
-def fit(labelled, text_col: str = "text", label_col: str = "lang", languages: int = 32):
-    """(languages, log-likelihood matrix) of labelled documents; a table of fixed size for each language."""
+def fit(labelled, text_col: str = "text", label_col: str = "lang"):
+    """(languages, broadcast blocks of BLOCK languages, usual ranges) of labelled documents. A block has the smoothed
+    counts of its languages, a table of fixed size for each."""
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(label_col).cast("string")).alias("lang"))
-    names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not names:
+        return names, [], np.zeros((3, 0))
     number = {x: i for i, x in enumerate(names)}
 
+    def emitted(held):
+        for i, table in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i] * 8, pa.int32()), pa.array(range(8), pa.int32()), pa.array(list(np.split(table, 8)), pa.list_(pa.int64()))], ["lang", "part", "n"])
+
     def count(batches):
-        table = np.zeros((len(names), CLASSES), np.int64)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for at, buf, offs in slices(batch.column("text")):
                 code, row, _ = trigrams(buf, offs)
-                of = lang[at + row]
-                table += np.bincount((of * CLASSES + code)[of >= 0], minlength=table.size).reshape(table.shape)
-        for i in np.flatnonzero(table.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)] * 8, pa.int32()), pa.array(range(8), pa.int32()), pa.array(list(np.split(table[i], 8)), pa.list_(pa.int64()))], ["lang", "part", "n"])
-
-    counts = rows.mapInArrow(count, "lang int, part int, n array<long>") if names else None
-    table = np.full((len(names), CLASSES), 0.5)
-    if counts is not None:
-        width = CLASSES // 8
-        summed = counts.select("lang", "part", F.posexplode("n")).groupBy("lang", "part", "pos").agg(F.sum("col").alias("n")).filter("n > 0")
-        got = summed.toArrow()
-        table[got.column("lang").to_numpy(), got.column("part").to_numpy() * width + got.column("pos").to_numpy()] += got.column("n").to_numpy()
-    logs = np.log(table / table.sum(1, keepdims=True)) if names else table
-    return names, logs, _usual(rows, number, table) if names else np.zeros((3, 0))
+                here, of = np.unique(lang[at : at + len(offs) - 1], return_inverse=True)
+                cell, times = np.unique(of[row] * CLASSES + code, return_counts=True) if len(here) > BLOCK else _counted(of[row] * CLASSES + code, len(here))
+                for j, i in enumerate(here.tolist()):
+                    x, y = np.searchsorted(cell, [j * CLASSES, (j + 1) * CLASSES])
+                    if i not in held:
+                        held[i] = np.zeros(CLASSES, np.int64)
+                    held[i][cell[x:y] - j * CLASSES] += times[x:y]
+                    if len(held) > 2 * BLOCK:
+                        yield from emitted(held)
+                        held = {}
+        yield from emitted(held)
+
+    width = CLASSES // 8
+    counts = rows.mapInArrow(count, "lang int, part int, n array<long>")
+    summed = counts.select("lang", "part", F.posexplode("n")).groupBy("lang", "part", "pos").agg(F.sum("col").alias("n")).filter("n > 0")
+    summed = summed if len(names) <= BLOCK else stored(summed, "classes")
+    blocks = []
+    for first in range(0, len(names), BLOCK):
+        got = summed.filter(F.col("lang").between(first, first + BLOCK - 1)).toArrow()
+        table = np.full((min(BLOCK, len(names) - first), CLASSES), 0.5)
+        table[got.column("lang").to_numpy() - first, got.column("part").to_numpy() * width + got.column("pos").to_numpy()] += got.column("n").to_numpy()
+        blocks.append(rows.sparkSession.sparkContext.broadcast(table))
+    return names, blocks, _usual(rows, number, blocks)
+
+
+def _counted(cells: np.ndarray, n: int):
+    """The sorted distinct cells of n languages and how often each occurs."""
+    times = np.bincount(cells, minlength=n * CLASSES)
+    cell = np.flatnonzero(times)
+    return cell, times[cell]
 
 
 def _distinct(code: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
@@ -88,25 +116,29 @@ def _distinct(code: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
     return np.count_nonzero(seen.reshape(m, CLASSES), axis=1)
 
 
-def _usual(rows, number: dict, table: np.ndarray) -> np.ndarray:
+def _usual(rows, number: dict, blocks: list) -> np.ndarray:
     """Three numbers of each language: median, spread below it, and variance in a document, of the log-likelihood a
     trigram of its own documents, each scored without its own counts."""
-    sent = rows.sparkSession.sparkContext.broadcast((table, table.sum(1)))
 
     def score(batches):
-        counts, sums = sent.value
+        counts = [b.value for b in blocks]
+        sums = np.concatenate([x.sum(1) for x in counts])
         for batch in batches:
-            lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for at, buf, offs in slices(batch.column("text")):
                 code, row, _ = trigrams(buf, offs)
                 m = len(offs) - 1
                 key, times = np.unique(row * CLASSES + code, return_counts=True)
                 row, code = key // CLASSES, key % CLASSES
                 of, size = lang[at + row], np.bincount(row, times, m)
-                x = np.log(counts[of, code] - times) - np.log(sums[of] - size[row])
+                had = np.empty(len(of))
+                for b in np.unique(of // BLOCK).tolist():
+                    part = of // BLOCK == b
+                    had[part] = counts[b][of[part] % BLOCK, code[part]]
+                x = np.log(had - times) - np.log(sums[of] - size[row])
                 mean = np.bincount(row, times * x, m) / np.maximum(size, 1)
                 within = np.bincount(row, times * (x - mean[row]) ** 2, m) / np.maximum(size, 1)
-                keep = np.flatnonzero((size > 0) & (lang[at : at + m] >= 0))
+                keep = np.flatnonzero(size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(lang[at + keep], pa.int32()), pa.array(mean[keep]), pa.array(within[keep])], ["lang", "mean", "within"])
 
     found = rows.mapInArrow(score, "lang int, mean double, within double").groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.5], 1000).alias("at"), F.percentile_approx("within", 0.5, 1000).alias("within"))
@@ -135,15 +167,15 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     median that are the usual range of a language's own documents.
     """
     small_batches(df.sparkSession)
-    names, logs, usual = model
+    names, blocks, usual = model
     n = len(names)
-    sent = df.sparkSession.sparkContext.broadcast((logs, usual))
     column = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
     rows = df.select(F.col(id_col).alias("id"), column(text_col).alias("text"), column(declared_col).alias("declared"), column(url_col).alias("url"), column(host_col).alias("host"))
     kind = df.schema[id_col].dataType.simpleString()
 
     def read(batches):
-        table, (median, spread, within) = sent.value
+        tables = [np.log(x / x.sum(1, keepdims=True)) for x in (b.value for b in blocks)]
+        median, spread, within = usual
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -163,7 +195,7 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
                     m = len(offs) - 1
                     letters[lo : lo + m] = had
                     for k in range(n):
-                        scores[lo : lo + m, k] = np.bincount(row, table[k][code], m)
+                        scores[lo : lo + m, k] = np.bincount(row, tables[k // BLOCK][k % BLOCK][code], m)
                     # trigrams overlap by three, and repeated ones tell nothing new
                     all_, own = np.bincount(row, minlength=m)[:, None], np.maximum(_distinct(code, row, m), 1)[:, None]
                     least_mean = np.minimum(-np.log(CLASSES), median - far * spread) - 3 * np.sqrt(3 * within / own)
@@ -182,32 +214,28 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     if not n:
         return read_rows.select(*out, F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_lang"), "declared", "suffix", "host", "n_letters", F.lit(True).alias("rejected"))
     known = F.when((F.col("n_letters") > 0) & F.col("fits"), F.col("q"))
-    spread = read_rows.withColumn("q", F.coalesce(known, F.array(*[F.lit(0.0)] * n)))
-    spread = spread.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "suffix", "domain", "host")], *[F.col("q")[k].alias(f"q{k}") for k in range(n)])
-    sums = lambda *keys: spread.groupBy(*keys).agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(n)])
-    counts = stored(sums("declared", "suffix", "domain", "host"), "counts")
-    total = counts.agg(*[F.coalesce(F.sum(f"q{k}"), F.lit(0.0)) for k in range(n)]).first()
-    whole = np.array(total, float) + 1.0
-    prior = whole / whole.sum()
-
-    def level(keys, above, name):
-        """P(language | keys), smoothed towards `above`, an expression of k."""
-        base = counts.groupBy(*keys).agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(n)])
-        base = base.withColumn("all", sum((F.col(f"q{k}") for k in range(n)), F.lit(0.0)))
-        if above is not None:
-            base = base.join(above, list(keys[:-1]))
-        p = [(F.col(f"q{k}") + F.lit(strength) * (F.col(f"up{k}") if above is not None else F.lit(float(prior[k])))) / (F.col("all") + F.lit(strength)) for k in range(n)]
-        return stored(base.select(*keys, *[x.alias(f"up{k}") for k, x in enumerate(p)]), name)
+    keys = ("declared", "suffix", "domain", "host")
+    spread = read_rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in keys], F.coalesce(known, F.array_repeat(F.lit(0.0), n)).alias("q"))
+    sums = lambda table, *by: table.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("q"))
+    counts = stored(sums(spread, *keys), "counts")
+    total = sums(counts).first()
+    whole = (np.array(total.q) if total.q else np.zeros(n)) + 1.0
+    prior = F.lit((whole / whole.sum()).tolist())
+
+    def level(by, above, name):
+        """P(language | by), smoothed towards `above`."""
+        base = sums(counts, *by).withColumn("all", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
+        base = base.join(above.withColumnRenamed("p", "up"), list(by[:-1])) if above is not None else base.withColumn("up", prior)
+        p = F.transform(F.zip_with("q", "up", lambda x, u: x + F.lit(strength) * u), lambda x: x / (F.col("all") + F.lit(strength)))
+        return stored(base.select(*by, p.alias("p")), name)
 
     suffix = level(["suffix"], None, "suffixes")
     domain = level(["suffix", "domain"], suffix, "domains")
     host = level(["suffix", "domain", "host"], domain, "hosts")
-    declared = counts.groupBy("declared").agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(n)])
-    declared = declared.withColumn("all", sum((F.col(f"q{k}") for k in range(n)), F.lit(0.0)))
     # P(declared | language) up to a factor that doesn't depend on the language
-    share = [(F.col(f"q{k}") + 1.0) / F.lit(float(whole[k])) for k in range(n)]
-    declared = stored(declared.select("declared", F.array(*[F.when(F.col("declared") == "", 0.0).otherwise(F.log(x)) for x in share]).alias("says")), "declared")
-    host = host.select("suffix", "domain", "host", F.array(*[F.log(f"up{k}") for k in range(n)]).alias("usual"))
+    says = F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with("q", F.lit(whole.tolist()), lambda x, w: F.log((x + 1.0) / w)))
+    declared = stored(sums(counts, "declared").select("declared", says.alias("says")), "declared")
+    host = host.select("suffix", "domain", "host", F.transform("p", lambda x: F.log(x)).alias("usual"))
 
     keyed = read_rows.select("*", *[F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in ("declared", "suffix", "domain", "host")])
     declared = declared.withColumnRenamed("declared", "k_declared")
@@ -216,7 +244,7 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     score = F.zip_with(F.zip_with("logit", "says", lambda a, b: a + b), "usual", lambda a, b: a + b)
     both = both.withColumn("score", score).withColumn("top", F.array_max("score"))
     both = both.withColumn("probability", F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    codes = F.array(*[F.lit(x) for x in names])
+    codes = F.lit(names)
     pick = lambda a, m: F.get(codes, (F.array_position(a, m) - 1).cast("int"))
     named = (F.col("n_letters") > 0) & F.col("fits")
     limit = max(least, (1 + least * (1 - 1 / n)) / n)
