@@ -224,13 +224,13 @@ def test_interior_phrases_ignore_offsets():
     assert fingerprints.likeness(a, b) > 0.85
 
 
-def test_packing(docs, texts):
+@pytest.mark.parametrize("ranks", [None, "tiktoken"])
+def test_packing(docs, texts, ranks):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for d, t in texts.items()}
-    rows = packing.pack(docs, queries.tokenizer_path(), segments=16).collect()
+    rows = packing.pack(docs, queries.tokenizer_path(), segments=16, loss_share=0.75, loss_limit=896, ranks=ranks and queries.tokenizer_path(ranks)).collect()
     sequences, of = defaultdict(list), defaultdict(list)
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
@@ -248,8 +248,9 @@ def test_packing(docs, texts):
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 1024 and len(pieces) <= 16
+        assert at <= 1024 and len(pieces) <= 16 and sum(r.loss_tokens for r in pieces) <= 896
         waste += 0 if at & (at - 1) == 0 else 1024 - at
+    assert sum(r.loss_tokens for r in rows) == sum(math.ceil(0.75 * len(x)) for x in ids.values())
     assert len(of) == len(texts) and waste <= 0.01 * sum(map(len, ids.values()))
 
 
@@ -257,12 +258,41 @@ def test_packing_limits():
     rng = np.random.default_rng(4)
     tokens = rng.integers(1, 3000, 400)
     loss = (tokens * rng.uniform(0, 1, 400)).astype(int)
-    seen = Counter()
-    for sequence in packing.fill(tokens, loss, 1024, 8, 600):
-        bearing = sum(max(0, min(n, at + n - (int(tokens[i]) - int(loss[i])))) for i, at, n in sequence)
-        assert sum(n for *_, n in sequence) <= 1024 and len(sequence) <= 8 and bearing <= 600
-        seen.update({i: n for i, _, n in sequence})
-    assert sum(seen.values()) == tokens.sum() or all(seen[i] <= tokens[i] for i in seen)
+    loss[:40], loss[40:80] = 0, tokens[40:80]
+    for size, segments, limit in ((1024, 8, 600), (1024, 1, 1024), (64, 3, 1), (1, 1, 1)):
+        placed = defaultdict(list)
+        for sequence in packing.fill(tokens, loss, size, segments, limit):
+            bearing = sum(max(0, min(n, at + n - (int(tokens[i]) - int(loss[i])))) for i, at, n in sequence)
+            assert 0 < sum(n for *_, n in sequence) <= size and 0 < len(sequence) <= segments and bearing <= limit
+            for i, at, n in sequence:
+                placed[i].append((at, n))
+        for i, pieces in placed.items():
+            pieces.sort()
+            assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(pieces[-1]) == tokens[i]
+        assert len(placed) == len(tokens)
+
+
+@pytest.mark.parametrize("limits", [{"segments": 0}, {"loss_limit": 0}, {"size": 0}, {"loss_share": 2}])
+def test_packing_refuses(docs, limits):
+    with pytest.raises(ValueError):
+        packing.pack(docs, queries.tokenizer_path(), **limits)
+
+
+def test_parts_are_encoded_alone():
+    """Odd white space, letters of all widths, added tokens and line ends, against the tokenizer on whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(queries.tokenizer_path()), np.random.default_rng(8)
+    bits = [" ", "  ", "\n", "\n\n", " \n", "\t", "\u00a0", "\u2003", "\u3000", "\u0085", "\r\n", "\x1c", "\x00", "é", "ß", "ж", "語", "😀", "a", "The", "'s", "'", "12", "...", "<|endoftext|>", "don't", "ﬁ"]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 14))) for _ in range(3000)] + ["w" * 70000 + " x", ""]
+    for ranks in (None, queries.tokenizer_path("tiktoken")):
+        encoder = packing.Encoder(queries.tokenizer_path(), ranks, most=2000)
+        for at in range(0, len(texts), 500):
+            some = texts[at : at + 500]
+            data = [t.encode() for t in some]
+            ids, bounds = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(x) for x in data]))
+            for k, t in enumerate(some):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0], t
 
 
 def test_language(spark, docs):
@@ -280,14 +310,56 @@ def test_language(spark, docs):
     assert {r.lang for r in evidence} == {"fr"} and {(r.declared, r.suffix, r.host) for r in evidence} == {("fr", "org/fr", "a.example.org")}
 
 
-def test_raking(spark):
-    cells = spark.createDataFrame([("a", "x", "p", 10), ("a", "y", "p", 30), ("b", "x", "q", 20), ("b", "y", "p", 40), ("a", "x", "q", 5), ("b", "y", "q", 8), ("b", "x", "p", 9), ("a", "y", "q", 7)], "source string, lang string, topic string, tokens long")
-    targets = {"source": {"a": 60, "b": 40}, "lang": {"x": 50, "y": 50}, "topic": {"p": 70, "q": 30}}
-    tables = {d: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"{d} string, target double") for d, t in targets.items()}
-    got = mixing.rake(cells, tables, rounds=12).collect()
+CELLS = [("a", "x", "p", 10), ("a", "y", "p", 30), ("b", "x", "q", 20), ("b", "y", "p", 40), ("a", "x", "q", 5), ("b", "y", "q", 8), ("b", "x", "p", 9), ("a", "y", "q", 7)]
+
+
+def raked(spark, targets, **k):
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
+    return mixing.rake(cells, {d: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"{d} string, target double") for d, t in targets.items()}, **k)
+
+
+def test_raking_within_bounds(spark):
+    targets = {"source": {"a": 48, "b": 40}, "lang": {"x": 38, "y": 50}, "topic": {"p": 56, "q": 32}}
+    got, error = raked(spark, targets)
+    rows = got.collect()
+    assert error < 1e-9 and all(0 <= r.fitted <= r.tokens for r in rows) and any(r.fitted == r.tokens for r in rows)
     for d, t in targets.items():
         for k, v in t.items():
-            assert sum(r.fitted for r in got if r[d] == k) == pytest.approx(v, rel=1e-4)
+            assert sum(r.fitted for r in rows if r[d] == k) == pytest.approx(v, rel=1e-6)
+
+
+@pytest.mark.parametrize("targets", [
+    {"source": {"a": 100, "b": 20}, "lang": {"x": 40, "y": 80}, "topic": {"p": 80, "q": 40}}, {"source": {"a": 40}, "lang": {"x": 20, "y": 20}, "topic": {"p": 20, "q": 20}},
+    {"source": {"a": 20, "b": 20, "c": 5}, "lang": {"x": 20, "y": 25}, "topic": {"p": 25, "q": 20}}, {"source": {"a": 20, "b": 20}, "lang": {"x": 20, "y": 25}, "topic": {"p": 25, "q": 20}},
+], ids=["more than there is", "a value without target", "a target without cells", "sums that differ"])
+def test_raking_refuses(spark, targets):
+    with pytest.raises(ValueError):
+        raked(spark, targets)
+
+
+def test_sample_meets_its_targets(spark):
+    """Expected tokens are within 1 % of the targets, and the sample's tokens within what chance allows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = mixing.mix(docs.withColumn("mix_topic", F.lit("other")))
+    every = mixing.mix(docs, share=1.0).select("doc_id", "mix_topic", "mix_tokens")
+    p = kept.groupBy("source", "lang", "mix_topic").agg(F.first("mix_probability").alias("p"), F.first("mix_error").alias("e"))
+    rows = docs.select("doc_id", "source", "lang").join(every, "doc_id").join(p, ["source", "lang", "mix_topic"], "left").join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left").fillna(0).collect()
+    total = sum(r.mix_tokens for r in rows)
+    assert len(rows) == 10000 and max(r.e for r in rows) < 1e-9
+    for d in ("source", "lang", "mix_topic"):
+        of = defaultdict(float)
+        for r in rows:
+            of[r[d]] += r.mix_tokens
+        want, factor = dict.fromkeys(of, 0.0), 0.0
+        for _ in range(50):
+            low = {k for k, m in of.items() if m <= factor * m**0.7}
+            factor = (total / 2 - sum(of[k] for k in low)) / sum(m**0.7 for k, m in of.items() if k not in low)
+        for k, m in of.items():
+            want[k] = min(m, factor * m**0.7)
+            own = [r for r in rows if r[d] == k]
+            assert sum(r.p * r.mix_tokens for r in own) == pytest.approx(want[k], rel=0.01)
+            spread = math.sqrt(sum(r.p * (1 - r.p) * r.mix_tokens**2 for r in own))
+            assert abs(sum(r.mix_tokens for r in own if r.kept) - want[k]) <= 5 * spread + 1e-6 * want[k]
 
 
 def test_mixing_against_sql(spark, docs):
@@ -300,6 +372,10 @@ def test_mixing_against_sql(spark, docs):
     columns = c.sql(queries.SQL["op5_mixture"]).columns
     assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == want
     assert set(docs.columns) < set(mixing.mix(docs).columns)
+    topics = {"a": ("x", "y"), "b": ("z",)}
+    odd = spark.createDataFrame([(1, "x z z"), (2, "xy z"), (3, "x z"), (4, None), (5, "")], "doc_id long, text string").selectExpr("*", "null as source", "null as lang", "'mine' as topic", "1 as tokens", "2 as mix_tokens")
+    got = {r.doc_id: r for r in mixing.mix(odd, share=1.0, topics=topics).collect()}
+    assert {k: (r.mix_topic, r.mix_tokens, r.topic, r.tokens) for k, r in got.items()} == {1: ("b", 3, "mine", 1), 2: ("a", 2, "mine", 1), 3: ("a", 2, "mine", 1), 4: ("prose", 0, "mine", 1), 5: ("prose", 0, "mine", 1)}
 
 
 def test_tool_calls(spark):
@@ -406,7 +482,7 @@ def test_packing_added_token(spark):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "one <|endoftext|>\n two", " <|endoftext|>  <|endoftext|> end", "plain words here"]
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
-    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), queries.tokenizer_path(), ranks=queries.tokenizer_path("tiktoken")).collect()
     for r in rows:
         ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))

@@ -11,11 +11,11 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the installed public tokenizer; operators take any path."""
+def tokenizer_path(kind: str = "json") -> str:
+    """The vocabulary file of the installed public tokenizer, or its ranks; operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
 def op1_context_tree(spark, sf_dir):
@@ -37,7 +37,7 @@ def op4_vector_groups(spark, sf_dir):
 
 def op5_mixture(spark, sf_dir):
     kept = mixing.mix(_read(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"))
+    return kept.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 8).alias("probability"))
 
 
 def op6_tool_calls(spark, sf_dir):
@@ -58,7 +58,8 @@ def op9_jaccard(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("loss_tokens")
+    """A document's first quarter is its prompt; its last three quarters bear loss, 896 tokens a sequence at most."""
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), loss_share=0.75, loss_limit=896, ranks=tokenizer_path("tiktoken"))
 
 
 def pipeline(spark, sf_dir):

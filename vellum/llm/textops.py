@@ -7,7 +7,7 @@ they are the same in every process.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
@@ -23,6 +23,7 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 2**64))
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 SLICE_BYTES = 1 << 19
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +129,21 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors must share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system at the end of a task: workers outlive their tasks, and what they hold counts
+    against the executor while later stages run in the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def small_batches(spark, rows: int = 1000) -> None:
     """Arrow batches of texts, whose default of 10,000 rows is tens of MB in the JVM and again in Python. A session that
     has its own setting keeps it."""
