@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import fingerprints, jaccard, language, licences, mixing, packing, queries, repeats, scoring, toolcalls, vectors
+from vellum.llm import fingerprints, jaccard, language, licences, mixing, packing, queries, repeats, scoring, textops, toolcalls, vectors
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, kept string, id string, name string"
@@ -228,9 +228,9 @@ def test_interior_phrases_ignore_offsets():
 def test_packing(docs, texts, ranks):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer = Tokenizer.from_file(textops.tokenizer_path())
     ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for d, t in texts.items()}
-    rows = packing.pack(docs, queries.tokenizer_path(), segments=16, loss_share=0.75, loss_limit=896, ranks=ranks and queries.tokenizer_path(ranks)).collect()
+    rows = packing.pack(docs, textops.tokenizer_path(), segments=16, loss_share=0.75, loss_limit=896, ranks=ranks and textops.tokenizer_path(ranks)).collect()
     sequences, of = defaultdict(list), defaultdict(list)
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
@@ -275,18 +275,18 @@ def test_packing_limits():
 @pytest.mark.parametrize("limits", [{"segments": 0}, {"loss_limit": 0}, {"size": 0}, {"loss_share": 2}])
 def test_packing_refuses(docs, limits):
     with pytest.raises(ValueError):
-        packing.pack(docs, queries.tokenizer_path(), **limits)
+        packing.pack(docs, textops.tokenizer_path(), **limits)
 
 
 def test_parts_are_encoded_alone():
     """Odd white space, letters of all widths, added tokens and line ends, against the tokenizer on whole texts."""
     from tokenizers import Tokenizer
 
-    tokenizer, rng = Tokenizer.from_file(queries.tokenizer_path()), np.random.default_rng(8)
+    tokenizer, rng = Tokenizer.from_file(textops.tokenizer_path()), np.random.default_rng(8)
     bits = [" ", "  ", "\n", "\n\n", " \n", "\t", "\u00a0", "\u2003", "\u3000", "\u0085", "\r\n", "\x1c", "\x00", "é", "ß", "ж", "語", "😀", "a", "The", "'s", "'", "12", "...", "<|endoftext|>", "don't", "ﬁ"]
     texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 14))) for _ in range(3000)] + ["w" * 70000 + " x", ""]
-    for ranks in (None, queries.tokenizer_path("tiktoken")):
-        encoder = packing.Encoder(queries.tokenizer_path(), ranks, most=2000)
+    for ranks in (None, textops.tokenizer_path("tiktoken")):
+        encoder = packing.Encoder(textops.tokenizer_path(), ranks, most=2000)
         for at in range(0, len(texts), 500):
             some = texts[at : at + 500]
             data = [t.encode() for t in some]
@@ -479,10 +479,10 @@ def test_answers_belong_to_the_latest_user_turn(spark):
 def test_packing_added_token(spark):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer = Tokenizer.from_file(textops.tokenizer_path())
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "one <|endoftext|>\n two", " <|endoftext|>  <|endoftext|> end", "plain words here"]
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
-    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), queries.tokenizer_path(), ranks=queries.tokenizer_path("tiktoken")).collect()
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), textops.tokenizer_path(), ranks=textops.tokenizer_path("tiktoken")).collect()
     for r in rows:
         ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
@@ -499,3 +499,21 @@ def test_every_label_is_fitted(spark, n):
     held = spark.createDataFrame([(k, say(k, 20)) for k in range(n)], "id int, text string")
     got = {r.id: r for r in language.identify(held, model, "id", "text").collect()}
     assert all(got[k].lang == f"l{k:03}" and not got[k].rejected for k in range(n))
+
+
+def test_removals_come_from_the_automata(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "automata", lambda keys, phrase: [])
+    assert repeats.remove_repeats(docs, 5).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_names_of_structured_words():
+    """Words, windows and shingle sets of the Thue-Morse sequence and its complement have different names."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(1 << 12)], np.uint8)
+    for n in (64, 1024, 4096):
+        a, b = bits[:n] + 97, 98 - bits[:n]
+        buf = np.r_[a, 32, b].astype(np.uint8)
+        assert len(set(textops.word_hashes(buf, np.array([0, n + 1]), np.array([n, 2 * n + 1])).tolist())) == 2
+        words = np.array([7, 9], np.uint64)
+        x, y = words[bits[:n]], words[1 - bits[:n]]
+        assert textops.window_hashes(x, n)[0] != textops.window_hashes(y, n)[0]
+        assert len(set(textops.window_hashes(np.r_[x, y], n).tolist())) == n + 1

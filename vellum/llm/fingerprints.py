@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from .textops import _cumulative, _DIGITS, mix, powers, small_batches, U
+from .textops import _DIGITS, mix, sequence_names, small_batches, tidy, U
 
 SIZES = (24, 24, 64)
 ENOUGH = 8
@@ -67,9 +67,7 @@ def parse(names: np.ndarray, labels: np.ndarray, rows: np.ndarray):
     cut[first] = True
     starts = np.flatnonzero(cut)
     ends = np.r_[starts[1:], n]
-    sums = _cumulative(names)
-    _, down = powers(n + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), rows[starts]
+    return sequence_names(names, starts, ends), rows[starts]
 
 
 def fingerprints(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:

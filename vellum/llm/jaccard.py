@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .textops import LOWER, U, components, mix, shingle_sets, slices, small_batches, stored
+from .textops import LOWER, U, components, mix, shingle_sets, slices, small_batches, stored, tidy
 
 CLASS_BITS, BLOCKS = 21, 128
 BLOCK_ROWS, FEW = 1000, 50
@@ -97,6 +97,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
             z = zstandard.ZstdCompressor(3)
             parts = [z.compress(p.tobytes()) for p in np.split(table, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * (3 + len(PARITY)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "sid", *PARITY, "block", "counts"])
+        tidy()
 
     def add_up(key, rows):
         total = np.zeros((1 << CLASS_BITS) // BLOCKS, np.uint64)
@@ -134,6 +135,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "doc", "n", "pos", "ell"])
+        tidy()
 
     token = Window.partitionBy("token")
     rows = docs.mapInArrow(prefixes, "token long, sid long, doc long, n int, pos int, ell int")
@@ -172,6 +174,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
                 lengths = np.cumsum([0] + [len(s) for _, s in got])
                 values = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([s for _, s in got])))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), values], ["sid", "items"])
+        tidy()
 
     def sets_of(pairs):
         """The shingle sets of the members of pairs, found again from their first documents' texts. A filter of 2**22
@@ -187,6 +190,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
             ok = np.unpackbits(sent.value).astype(bool)
             for batch in batches:
                 yield batch.filter(pa.array(ok[batch.column("bit").to_numpy()]))
+            tidy()
 
         near = own.withColumn("bit", bit).mapInArrow(sift, "doc long, text string, bit long").drop("bit")
         return stored(near.join(needed, "doc").select("sid", "text").mapInArrow(of_texts, "sid long, items array<long>"), "sets")
@@ -256,5 +260,5 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
 def keep_firsts(df, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text"):
     """The rows of df whose document is the smallest of its component; a document without words is its own."""
     found = jaccard_components(df, n, num, den, id_col=id_col, text_col=text_col)
-    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(dropped, df[id_col] == F.col("_gone"), "left_anti")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)

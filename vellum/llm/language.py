@@ -31,7 +31,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from .textops import LOWER, slices, small_batches, stored
+from .textops import LOWER, slices, small_batches, stored, tidy
 
 CLASSES = 1 << 14
 BLOCK = 32
@@ -88,6 +88,7 @@ def fit(labelled, text_col: str = "text", label_col: str = "lang"):
                         yield from emitted(held)
                         held = {}
         yield from emitted(held)
+        tidy()
 
     width = CLASSES // 8
     counts = rows.mapInArrow(count, "lang int, part int, n array<long>")
@@ -208,6 +209,7 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
                     part.column("id"), pa.array([x.lower() if x else None for x in declared], pa.string()), pa.array(suffixes, pa.string()), pa.array(domains, pa.string()), pa.array(hosts, pa.string()),
                     pa.array(letters), pa.array(fits), pa.array(list(logit), pa.list_(pa.float64())), pa.array(list(q), pa.list_(pa.float64())),
                 ], ["id", "declared", "suffix", "domain", "host", "n_letters", "fits", "logit", "q"])
+        tidy()
 
     read_rows = stored(rows.mapInArrow(read, f"id {kind}, declared string, suffix string, domain string, host string, n_letters long, fits boolean, logit array<double>, q array<double>"), "evidence")
     out = [F.col("id").alias(id_col)]

@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, licences, mixing, packing, repeats, scoring, toolcalls, vectors
+from . import fingerprints, jaccard, language, licences, mixing, packing, repeats, scoring, stages, toolcalls, vectors
+from .textops import tokenizer_path
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path(kind: str = "json") -> str:
-    """The vocabulary file of the installed public tokenizer, or its ranks; operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
-
-
 def op1_context_tree(spark, sf_dir):
     return scoring.score(_read(spark, sf_dir, "documents"))
 
@@ -63,9 +57,7 @@ def op10_packing(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_context_tree, op2_repeated_passages, op3_language_evidence, op4_vector_groups, op5_mixture, op6_tool_calls, op7_licences, op8_fingerprints, op9_jaccard, op10_packing, pipeline)}

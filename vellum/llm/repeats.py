@@ -3,16 +3,19 @@
 A passage of `window` consecutive words goes where the same words start in a document with a smaller id.
 
 1. Documents are dealt into shards of bounded size. Each shard names the least 8-word phrase of each of its
-   windows (equal windows have the same one); phrases seen in two documents or more are the candidates.
-2. Recurring passages are confirmed: only windows with such a phrase are named in full, and the smallest id of
-   each name, over all shards, is found by a window function. What travels is one row per name and shard.
-3. Each shard gets its confirmed windows, takes from every run of them the phrases that no window of the run can
-   avoid (8 words at every 43rd place), compiles Aho-Corasick automata over words, and streams all its
-   documents through them. Every occurrence of a phrase gives the windows around it; those that are confirmed and
-   started earlier elsewhere are removed. Each document is streamed once, at any size of the corpus.
-
-Words are compared by 64-bit names. Edge cases: null and empty texts have no words; null ids count as
-larger than all others; rows with equal ids never remove each other's words; an empty table gives an empty result.
+   windows (equal windows have the same one); phrases seen in two documents or more recur.
+2. Each shard compiles Aho-Corasick automata of the recurring phrases that it has, over words (a letter of 16 bits
+   for each), and streams its documents through them. Around every occurrence, the windows whose least phrase it is are
+   named in full; the smallest id of each name, over all shards, is found by a window function. What travels is one
+   row per name and shard. Windows that start in two documents or more are confirmed.
+3. Each shard streams its documents through its automata again; the windows located that way whose name is confirmed
+   with a smaller id are removed. Nothing but a hit of an automaton leads to a removal. Each document is
+   streamed twice, at any size of the corpus, and only through automata of phrases that its shard has.
+
+Windows are told apart by 64-bit names. A phrase's or a window's rows that meet in one task are one a shard at most.
+Edge cases: null and empty texts have no words; null ids count as larger than all others; rows with equal ids never
+remove each other's words; very long texts are one row of their shard and are parsed in whole; columns of df that aren't
+in `carry` don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .textops import same_row, slices, window_hashes, word_hashes, words
+from .textops import same_row, slices, tidy, window_hashes, word_hashes, words
 
 PHRASE, SHARD_BYTES, MOST = 8, 4_000_000, 20_000
 LAST = 2**62
@@ -46,24 +49,71 @@ def _parsed(table, size):
         yield at, buf, offs, starts, ends, rows, names, valid
 
 
-def _phrases(names, valid, size, phrase):
-    if not len(valid):
-        return np.zeros(0, np.uint64)
-    return sliding_min(window_hashes(names, phrase), size - phrase + 1)[valid]
+def letters(names: np.ndarray) -> np.ndarray:
+    """16 bits of each word's name."""
+    return (names >> np.uint64(48)).astype("<u2")
+
+
+def spelled(codes: np.ndarray) -> str:
+    """Letters as a string of one character each."""
+    wide = codes.astype("<u4") + np.uint32(1)
+    wide[wide >= 0xD800] += np.uint32(0x800)
+    return wide.tobytes().decode("utf-32-le")
+
+
+def least_phrases(names, rows, valid, size: int, phrase: int):
+    """(first window, name, letters) of each run of windows of a row that have the same least phrase."""
+    width = size - phrase + 1
+    every = window_hashes(names, phrase)
+    least = sliding_min(every, width)[valid]
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[valid[1:]] != rows[valid[:-1]])])
+    codes, out = letters(names), []
+    for at in range(0, len(new), 20_000):
+        first = valid[new[at : at + 20_000]]
+        place = first + (every[first[:, None] + np.arange(width)] == least[new[at : at + 20_000], None]).argmax(1)
+        out.append(codes[place[:, None] + np.arange(phrase)])
+    return valid[new], least[new], np.concatenate(out)
+
+
+def automata(keys, phrase: int) -> list:
+    """Aho-Corasick automata of at most MOST phrases each."""
+    import ahocorasick
+
+    out, keys = [], sorted(set(keys))
+    for at in range(0, len(keys), MOST):
+        line = spelled(np.frombuffer(b"".join(keys[at : at + MOST]), "<u2"))
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for k in range(0, len(line), phrase):
+            machine.add_word(line[k : k + phrase])
+        machine.make_automaton()
+        out.append(machine)
+    return out
+
+
+def located(machines, names, valid, size: int, phrase: int) -> np.ndarray:
+    """The windows whose least phrase is an occurrence that an automaton found."""
+    if not len(valid) or not machines:
+        return valid[:0]
+    line = spelled(letters(names))
+    hit = np.zeros(len(names), bool)
+    for machine in machines:
+        hit[np.fromiter((end for end, _ in machine.iter(line)), np.int64) - phrase + 1] = True
+    if not hit.any():
+        return valid[:0]
+    every = window_hashes(names, phrase)
+    found = np.where(hit[: len(every)], every, np.uint64(2**64 - 1))
+    width = size - phrase + 1
+    return valid[sliding_min(every, width)[valid] == sliding_min(found, width)[valid]]
 
 
 def _ranges(names, docs):
-    """Distinct names with the smallest and the largest document of each."""
+    """Where each distinct name stands first, and the smallest and the largest document of each."""
     order = np.argsort(names, kind="stable")
     names, docs = names[order], docs[order]
-    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
-    if not len(first):
-        return names, docs, docs
-    return names[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
-
-
-def _table(names, lo, hi, shard):
-    return pa.table([pa.array(names.astype(np.int64)), pa.array(lo), pa.array(hi), pa.array(np.full(len(lo), shard, np.int64))], names=["name", "lo", "hi", "shard"])
+    if not len(names):
+        return order, docs, docs
+    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    return order[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
 
 
 def _ids(table):
@@ -86,33 +136,6 @@ def text_of(buf, offs, starts, ends, rows, keep):
     return out[:-1][mask[:-1]], sizes[offs]
 
 
-def located(names_by_slice, phrases, size, phrase):
-    """For each slice, the places of windows around an occurrence of a phrase, found by automata over words."""
-    import ahocorasick
-
-    marks = [np.zeros(len(n) + 1, np.int32) for n in names_by_slice]
-    phrases = list(phrases)
-    for at in range(0, len(phrases), MOST):
-        part = np.frombuffer(b"".join(phrases[at : at + MOST]), np.uint64).reshape(-1, phrase)
-        known = np.unique(part)
-        letters = np.arange(1, len(known) + 1, dtype=np.uint32)
-        letters[letters >= 0xD800] += 0x800
-        spell = lambda codes: codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for row in letters[np.searchsorted(known, part)]:
-            machine.add_word(spell(row))
-        machine.make_automaton()
-        for names, mark in zip(names_by_slice, marks, strict=True):
-            if not len(names):
-                continue
-            i = np.minimum(np.searchsorted(known, names), len(known) - 1)
-            text = spell(np.where(known[i] == names, letters[i], 0))
-            begins = np.array([end for end, _ in machine.iter(text)], np.int64) - phrase + 1
-            np.add.at(mark, np.maximum(begins - (size - phrase), 0), 1)
-            np.add.at(mark, begins + 1, -1)
-    return [np.cumsum(m[:-1]) > 0 for m in marks]
-
-
 def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()):
     """One row per document: id_col, kept (text of the words left, joined by one space), n_words, n_removed, and `carry`.
 
@@ -126,73 +149,67 @@ def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "do
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(2 * parts, -(-total // SHARD_BYTES))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    found = "name long, lo long, hi long, shard long"
+    kind_of = {"key": pa.binary(), "name": pa.int64()}
+
+    def table_of(column, values, lo, hi, shard):
+        return pa.table([pa.array(values, kind_of[column]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(np.full(len(lo), shard, np.int64))], names=[column, "lo", "hi", "shard"])
 
     def candidates(key, table):
-        ids, names, docs_of = _ids(table), [], []
+        ids, names, codes, docs_of = _ids(table), [], [], []
         for at, _, _, _, _, rows, wh, valid in _parsed(table, size):
-            least = _phrases(wh, valid, size, phrase)
-            if len(least):
-                new = np.r_[True, (least[1:] != least[:-1]) | (rows[valid[1:]] != rows[valid[:-1]])]
-                names.append(least[new])
-                docs_of.append(ids[at + rows[valid[new]]])
+            if len(valid):
+                first, least, phrases = least_phrases(wh, rows, valid, size, phrase)
+                names.append(least)
+                codes.append(phrases)
+                docs_of.append(ids[at + rows[first]])
         if not names:
-            return _table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-        return _table(*_ranges(np.concatenate(names), np.concatenate(docs_of)), key[0].as_py())
+            return table_of("key", [], [], [], 0)
+        which, lo, hi = _ranges(np.concatenate(names), np.concatenate(docs_of))
+        data, width = np.concatenate(codes)[which].tobytes(), 2 * phrase
+        tidy()
+        return table_of("key", [data[i : i + width] for i in range(0, len(data), width)], lo, hi, key[0].as_py())
 
-    by_name = Window.partitionBy("name")
-    seen = docs.groupBy("shard").applyInArrow(candidates, found)
-    seen = seen.withColumn("first", F.min("lo").over(by_name)).withColumn("last", F.max("hi").over(by_name)).filter("first < last").select("name", "shard")
+    by = lambda c: Window.partitionBy(c)
+    seen = docs.groupBy("shard").applyInArrow(candidates, "key binary, lo long, hi long, shard long")
+    seen = seen.withColumn("first", F.min("lo").over(by("key"))).withColumn("last", F.max("hi").over(by("key"))).filter("first < last").select("key", "shard")
 
     def confirm(key, table, wanted):
-        if not table.num_rows or not wanted.num_rows:
-            return _table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-        ids, names, docs_of = _ids(table), [], []
-        wanted = np.sort(wanted.column("name").to_numpy().astype(np.uint64))
-        for at, _, _, _, _, rows, wh, valid in _parsed(table, size):
-            least = _phrases(wh, valid, size, phrase)
-            if len(least):
-                hit = wanted[np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)] == least
-                names.append(window_hashes(wh, size)[valid[hit]])
-                docs_of.append(ids[at + rows[valid[hit]]])
+        ids, names, docs_of = _ids(table) if table.num_rows else (), [], []
+        machines = automata(wanted.column("key").to_pylist(), phrase) if table.num_rows and wanted.num_rows else []
+        for at, _, _, _, _, rows, wh, valid in _parsed(table, size) if machines else ():
+            places = located(machines, wh, valid, size, phrase)
+            if len(places):
+                names.append(window_hashes(wh, size)[places])
+                docs_of.append(ids[at + rows[places]])
         if not names:
-            return _table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-        return _table(*_ranges(np.concatenate(names), np.concatenate(docs_of)), key[0].as_py())
+            return table_of("name", [], [], [], 0)
+        every = np.concatenate(names)
+        which, lo, hi = _ranges(every, np.concatenate(docs_of))
+        tidy()
+        return table_of("name", every[which].astype(np.int64), lo, hi, key[0].as_py())
 
-    again = docs.groupBy("shard").cogroup(seen.groupBy("shard")).applyInArrow(confirm, found)
-    again = again.withColumn("first", F.min("lo").over(by_name)).filter("first < hi").select("name", "first", "shard")
+    again = docs.groupBy("shard").cogroup(seen.groupBy("shard")).applyInArrow(confirm, "name long, lo long, hi long, shard long")
+    again = again.withColumn("first", F.min("lo").over(by("name"))).filter("first < hi").select("name", "first", "shard")
+    told = again.select(F.lit(None).cast("binary").alias("key"), "name", "first", "shard").union(seen.select("key", F.lit(None).cast("long"), F.lit(None).cast("long"), "shard"))
 
     extra = [f for f in docs.schema.fields if f.name.startswith("carry_")]
     schema = "given long, kept string, n_words long, n_removed long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
 
-    def remove(key, table, confirmed):
+    def remove(key, table, told):
         ids = _ids(table) if table.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(c := confirmed.column("name").to_numpy().astype(np.uint64)) if confirmed.num_rows else np.zeros(0, np.int64)
-        known, first = (c[order], confirmed.column("first").to_numpy()[order]) if confirmed.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        parsed, starts_of, phrases = list(_parsed(table, size)) if table.num_rows else [], [], set()
-        for _, _, _, _, _, rows, wh, valid in parsed:
-            since = np.full(len(wh), LAST + 1, np.int64)
-            if len(valid) and len(known):
-                full = window_hashes(wh, size)[valid]
-                i = np.minimum(np.searchsorted(known, full), len(known) - 1)
-                ok = known[i] == full
-                since[valid[ok]] = first[i[ok]]
-                at = valid[ok]
-                if len(at):
-                    cut = np.r_[True, (at[1:] != at[:-1] + 1) | (rows[at[1:]] != rows[at[:-1]])]
-                    begin, end = at[cut], at[np.r_[cut[1:], True]]
-                    step = size - phrase + 1
-                    many = (end - begin) // step + 1
-                    places = np.repeat(begin + step - 1, many) + step * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-                    for q in places:
-                        phrases.add(wh[q : q + phrase].tobytes())
-            starts_of.append(since)
-        near = located([p[6] for p in parsed], phrases, size, phrase)
+        confirmed = told.filter(told.column("key").is_null()) if told.num_rows else told
+        machines = automata(told.column("key").drop_null().to_pylist(), phrase) if confirmed.num_rows else []
+        known, first = confirmed.column("name").to_numpy().astype(np.uint64), confirmed.column("first").to_numpy()
+        order = np.argsort(known)
+        known, first = known[order], first[order]
         texts, counts, gone_of = [], [], []
-        for (at, buf, offs, starts, ends, rows, wh, _), since, close in zip(parsed, starts_of, near, strict=True):
-            goes = close & (since < ids[at + rows]) if len(wh) else close
+        for at, buf, offs, starts, ends, rows, wh, valid in _parsed(table, size) if table.num_rows else ():
+            places = located(machines, wh, valid, size, phrase)
+            if len(places):
+                full = window_hashes(wh, size)[places]
+                i = np.minimum(np.searchsorted(known, full), len(known) - 1)
+                places = places[(known[i] == full) & (first[i] < ids[at + rows[places]])]
             cover = np.zeros(len(wh) + size + 1, np.int32)
-            places = np.flatnonzero(goes)
             cover[places] += 1
             cover[places + size] -= 1
             gone = np.cumsum(cover)[: len(wh)] > 0
@@ -203,7 +220,8 @@ def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "do
             gone_of.append(np.bincount(rows, gone, minlength=n).astype(np.int64))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         columns = [table.column("given"), pa.chunked_array(texts, pa.string()), pa.array(cat(counts).astype(np.int64)), pa.array(cat(gone_of))]
+        tidy()
         return pa.table(columns + [table.column(f.name) for f in extra], names=["given", "kept", "n_words", "n_removed"] + [f.name for f in extra])
 
-    out = docs.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(remove, schema)
+    out = docs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, schema)
     return out.select(F.col("given").alias(id_col), "kept", "n_words", "n_removed", *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)])

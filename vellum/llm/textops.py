@@ -1,8 +1,8 @@
 """Vectorised word and hash primitives over Arrow string columns, and shared-folder tables.
 
 Every function works on a slice of whole texts: a flat UTF-8 byte buffer plus row offsets. Null
-texts count as empty. Hashes are 64-bit polynomials over random byte digits, finalised by a mixer;
-they are the same in every process.
+texts count as empty. Names are 64-bit sums of values times random multipliers, finalised by a mixer (multilinear hashing);
+they are the same in every process. Two different words or windows share a name with a chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -18,25 +18,14 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_DIGITS = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(int(_BASE), -1, 2**64))
-_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
+_SEED = np.random.Generator(np.random.PCG64(20240917))
+_DIGITS = _SEED.integers(1, 2**64, 256, dtype=np.uint64)
+_LEFT, _RIGHT, _SIZE = (U(x) for x in _SEED.integers(1, 2**63, 3, dtype=np.uint64) * U(2) + U(1))
+_places = {"odd": np.zeros(0, U)}
 SLICE_BYTES = 1 << 19
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n, kept between calls."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, b, U)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -44,11 +33,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _cumulative(values: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+def _multipliers(n: int) -> np.ndarray:
+    """A random odd multiplier for each of n places, kept between calls."""
+    if len(_places["odd"]) < n:
+        _places["odd"] = mix(np.arange(max(n, 1 << 12), dtype=U) * U(0x9E3779B97F4A7C15) + U(77)) | U(1)
+    return _places["odd"][:n]
+
+
+def sequence_names(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each run values[start:end]: a sum of values times multipliers that are random for each place of
+    the run, so that no structure of the values makes different runs collide. Runs stand in order and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, U)
+    sizes = ends - starts
+    first = int(starts[0])
+    place = np.arange(first, len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    most = int(sizes.max())
+    sums = np.zeros(len(values) - first + 1, U)
+    np.cumsum(values[first:] * _multipliers(most)[np.minimum(place, most - 1)], out=sums[1:])
+    return mix(sums[ends - first] - sums[starts - first] + sizes.astype(U) * _SIZE)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES):
@@ -90,19 +93,25 @@ def words(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACES):
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit name for each word; equal words have equal names."""
-    sums = _cumulative(_DIGITS[buf])
-    _, down = powers(len(buf) + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return sequence_names(_DIGITS[buf], starts, ends)
 
 
 def window_hashes(names: np.ndarray, n: int) -> np.ndarray:
-    """Names of the n consecutive words that start at each place; places past the end are left out."""
+    """Names of the n consecutive words that start at each place; places past the end are left out. Names of windows of
+    1, 2, 4, ... words are put together by two, and those of n's binary digits make up a window."""
     if len(names) < n:
         return np.zeros(0, U)
-    sums = _cumulative(names)
-    _, down = powers(len(names) + 1)
-    m = len(names) - n + 1
-    return mix((sums[n:] - sums[:m]) * down[:m] + U(n))
+    m, out, at, width, rest = len(names) - n + 1, None, 0, 1, n
+    while True:
+        if rest & 1:
+            part = names[at : at + m]
+            out = part if out is None else mix(out * _LEFT + part * _RIGHT)
+            at += width
+        rest >>= 1
+        if not rest:
+            return mix(out + U(n * int(_SIZE) % 2**64))
+        names = mix(names[:-width] * _LEFT + names[width:] * _RIGHT)
+        width *= 2
 
 
 def same_row(rows: np.ndarray, n: int) -> np.ndarray:
@@ -128,6 +137,13 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def tokenizer_path(kind: str = "json") -> str:
+    """The vocabulary file of the installed public tokenizer, or its ranks; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
+
+
 def shared_folder(spark) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors must share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -159,11 +175,19 @@ def stored(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables) -> None:
+    """Deletes tables that stored() made and nothing reads any more."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def components(edges, low: str = "a", high: str = "b"):
     """(node, label) of every node of an edge table: label is the smallest node that links reach.
 
     Labels flow along links and then jump to their own label, until nothing changes; each round is a
-    stored table, and hub nodes are summed before the shuffle. No edges: an empty table.
+    stored table, and the last round's tables go. Links to a hub are summed by node after the join. No edges: an empty table.
     """
     from pyspark.sql import functions as F
 
@@ -176,7 +200,9 @@ def components(edges, low: str = "a", high: str = "b"):
         step = stored(step, "labels")
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("top"))
         new = step.join(jump, step.label == jump["at"], "left").select("node", F.coalesce("top", "label").alias("label"), "old")
-        labels = stored(new, "labels")
-        if labels.filter("label <> old").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        new = stored(new, "labels")
+        dropped(labels, step)
+        if new.filter("label <> old").isEmpty():
+            dropped(both)
+            return new.select("node", "label")
+        labels = new.select("node", "label")
