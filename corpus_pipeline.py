@@ -1,57 +1,5 @@
-"""From raw documents to packed training sequences: five stages, each a written table that the next one reads.
+"""From raw documents to packed training sequences: five stages, each a written table that the next one reads."""
 
-Each stage works on all rows that its predecessor kept. A stage's function takes (spark, docs, sf_dir) and returns a
-DataFrame; all but the last return the columns of documents (doc_id, text, lang, source, n_chars).
-"""
+from vellum.llm.stages import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from vellum.llm import jaccard, language, mixing, packing, queries, repeats, textops
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def language_stage(spark, docs, sf_dir):
-    """Documents whose language the evidence names; text, the declared language and the source as host count."""
-    numbered = textops.stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = language.identify(numbered, language.fit(docs), "_row", "text", declared_col="lang", host_col="source")
-    gone = found.filter("rejected").select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*COLUMNS)
-
-
-def near_copies_stage(spark, docs, sf_dir):
-    """The document with the smallest id of each group of five-word shingle sets with Jaccard 0.8 or more."""
-    return jaccard.keep_firsts(docs, n=5, num=8, den=10).select(*COLUMNS)
-
-
-def repeats_stage(spark, docs, sf_dir):
-    """Texts without passages of 50 words that started earlier; texts that had none keep their white space."""
-    out = repeats.remove_repeats(docs, carry=("text", "lang", "source"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.filter("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source")
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-def mixing_stage(spark, docs, sf_dir):
-    """A sample by source, language and topic with calibrated probabilities."""
-    return mixing.mix(docs).select(*COLUMNS)
-
-
-def packing_stage(spark, docs, sf_dir):
-    """Pieces of at most 1024 tokens in sequences."""
-    return packing.pack(docs, queries.tokenizer_path()).drop("loss_tokens")
-
-
-STAGES = [("language", language_stage), ("near_copies", near_copies_stage), ("repeats", repeats_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
-
-#: The stages use models and automata that SQL doesn't express; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = textops.stored(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
