@@ -517,3 +517,68 @@ def test_names_of_structured_words():
         x, y = words[bits[:n]], words[1 - bits[:n]]
         assert textops.window_hashes(x, n)[0] != textops.window_hashes(y, n)[0]
         assert len(set(textops.window_hashes(np.r_[x, y], n).tolist())) == n + 1
+
+
+def test_odd_json_of_tool_calls(spark):
+    calls = [("big", "add", '{"x": ' + "9" * 400 + "}", None, 0), ("half", "add", '{"x": "\\ud800"}', [None, "big"], 1), ("key", "add", '{"\\ud800": 1}', None, 2), ("list", "many", '{"x": null}', None, 3), ("inf", "add", '{"x": 1e999}', None, 4), ("deep", "add", "[" * 100000, None, 5), ("real", "many", '{"x": 1.5}', None, 6)]
+    results = spark.createDataFrame([("big", "r", 0)], "call_id string, content string, place long")
+    schemas = {"add": {"type": "object", "additionalProperties": False, "properties": {"x": {"type": "integer"}}}, "many": {"properties": {"x": {"type": ["string", "null"]}}}}
+    got = {r.call_id: r for r in toolcalls.link(spark.createDataFrame(calls, "call_id string, name string, arguments string, after array<string>, place long"), results, schemas).collect()}
+    assert {k: r.status for k, r in got.items()} == {"big": "ok", "half": "missing_dependency", "key": "bad_json", "list": "no_result", "inf": "bad_json", "deep": "bad_json", "real": "invalid_arguments"}
+    assert json.loads(got["big"].json)["arguments"]["x"] == int("9" * 400) and got["half"].json is None
+
+
+def test_levels_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    after = {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(700)}
+    for k in range(300):
+        after[f"r{k}"] = sorted({f"r{int(j)}" for j in rng.integers(0, max(1, k), int(rng.integers(0, 4)))} if k else set()) + (["c50"] if k % 50 == 7 else [])
+    after |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "m": ["gone"], "n": ["m", "c3"], "s": ["s"]}
+    want = {}
+    while new := {k: max((want[d] + 1 for d in a), default=0) for k, a in after.items() if k not in want and all(d in want for d in a)}:
+        want |= new
+    df = spark.createDataFrame([(k, a) for k, a in after.items()], "call_id string, after array<string>")
+    assert {r.call_id: r.level for r in toolcalls.levels(df).collect()} == want and len(want) == 1000
+
+
+def test_markup_is_read_in_one_pass():
+    import time
+
+    for page in ("<!--" * 250_000, "<script " * 130_000, "<script>" * 130_000, "<" * 10**6, "<html " * 10**5 + "lang=", "<a>" * 300_000, "<!-- --> <nav>x</nav>" * 40_000):
+        began = time.process_time()
+        language.read_markup(page)
+        assert time.process_time() - began < 1
+    page = '<!-- <html lang="es"> --><HTML class=a LANG="fr"><script>var a = "<b>"</script><style>p</style><nav>menu</nav ><p>le &eacute;t&eacute;</p><!-- open <b>bold'
+    text, declared = language.read_markup(page)
+    assert declared == "fr" and text.split() == ["le", "été", "bold"]
+
+
+def test_posterior_against_brute_force(spark, docs):
+    """Evidence of the text, the declared language, the suffix and the host, each without the page's own say."""
+    names, blocks, _ = model = language.fit(docs)
+    table = np.concatenate([b.value for b in blocks])
+    table = np.log(table / table.sum(1, keepdims=True))
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id >= 120").limit(40).collect()
+    pages = [(i, r.text[:80], [None, "de", "en", "xx"][i % 4], f"http://h{i % 5}.d{i % 3}.{['org', 'fr'][i % 2]}/{['', 'de/'][i % 2]}x") for i, r in enumerate(rows)]
+    got = {r.id: r for r in language.identify(spark.createDataFrame(pages, "id int, text string, declared string, url string"), model, "id", "text", declared_col="declared", url_col="url").collect()}
+    q, logits, keys = [], [], []
+    for i, text, declared, url in pages:
+        data = text.encode()
+        code, _, _ = language.trigrams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        logit = 0.25 * table[:, code].sum(1)
+        logits.append(logit - logit.max())
+        q.append(np.exp(logits[-1]) / np.exp(logits[-1]).sum() * (got[i].text_lang != "und"))
+        keys.append((declared, got[i].suffix, ".".join(got[i].host.split(".")[-2:]), got[i].host))
+    for i, *_ in pages:
+        others = [k for k in range(len(pages)) if k != i]
+        whole = sum(q[k] for k in others) + 1.0
+        p = whole / whole.sum()
+        for level in (1, 2, 3):
+            x = sum((q[k] for k in others if keys[k][1 : level + 1] == keys[i][1 : level + 1]), np.zeros(len(names))) + 20.0 * p
+            p = x / x.sum()
+        score = logits[i] + np.log(p)
+        if keys[i][0]:
+            score = score + np.log((sum((q[k] for k in others if keys[k][0] == keys[i][0]), np.zeros(len(names))) + 1.0) / whole)
+        post = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        if got[i].text_lang != "und":
+            assert got[i].lang == names[int(post.argmax())] and got[i].probability == pytest.approx(post.max(), rel=1e-6)

@@ -4,7 +4,8 @@ Evidence for each page: the likelihood of its text under byte-trigram models of
 declares, its address suffix (top-level domain and language path), and a prior of its host. All but the text
 model come from grouped aggregation of the text posteriors over the whole table: counts of languages by declared
 language, by suffix and by host, each smoothed towards the level above (host to domain, domain to suffix, suffix to
-all), so that a host with few pages follows its domain. The posterior is the normalised product.
+all), so that a host with few pages follows its domain; a page's own posterior is left out of them. The posterior is the
+normalised product.
 
 The text model counts 2**14 trigram classes of every labelled document, for every label. It is made and sent in blocks
 of labels, so that the driver works on one block at a time; a worker reads all, 128 kB a label. A row's scores and
@@ -17,7 +18,8 @@ no language fits are 'und' and don't count in any prior.
 
 Edge cases: null and empty texts have no letters and are rejected as 'und'; null evidence is its own value; ties go to
 the first language in alphabetical order; without labelled rows everything is 'und'; an empty table gives an
-empty result; repeated rows count as often as they stand there.
+empty result; repeated rows count as often as they stand there; texts and markup of any length are read whole, in time
+proportional to them; of df, only the named columns matter.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ CLASSES = 1 << 14
 BLOCK = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|noscript)\b.*?</\1\s*>|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
-_UNSHOWN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript)\b.*?(?:</\1\s*>|\Z)")
+_TAG = re.compile(r"<(script|style|nav|noscript|html)\b", re.I | re.A)
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I | re.A) for x in ("script", "style", "nav", "noscript")}
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.I | re.A)
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]+)(?::\d+)?(?:/([a-z]{2})(?=[/?#]|$))?")
 
 
@@ -149,14 +151,35 @@ def _usual(rows, number: dict, blocks: list) -> np.ndarray:
     return usual
 
 
-def _text_of(page: str) -> str:
-    return entities.unescape(_HIDDEN.sub(" ", page))
-
-
-def _declared_by(page: str) -> str | None:
-    """The language of the markup's html tag, wherever it stands outside comments, scripts and styles."""
-    m = _DECLARED.search(_UNSHOWN.sub(" ", page))
-    return m[1] if m else None
+def read_markup(page: str) -> tuple[str, str | None]:
+    """(text, language of the html tag) of markup in one pass: comments and what script, style, nav and noscript hold
+    are no text. What is never closed hides nothing but its tag."""
+    pieces, declared, at, open_ended = [], None, 0, set()
+    while (j := page.find("<", at)) >= 0:
+        pieces.append(page[at:j])
+        if page.startswith("<!--", j) and "<!--" not in open_ended:
+            end = page.find("-->", j + 4)
+            if end >= 0:
+                at = end + 3
+                continue
+            open_ended.add("<!--")
+        end = page.find(">", j)
+        if end < 0:
+            at = j
+            break
+        at = end + 1
+        if m := _TAG.match(page, j):
+            name = m[1].lower()
+            if name == "html":
+                if declared is None and (said := _LANG.search(page, m.end(), at)):
+                    declared = said[1]
+            elif name not in open_ended:
+                if shut := _CLOSED[name].search(page, at):
+                    at = shut.end()
+                else:
+                    open_ended.add(name)
+    pieces.append(page[at:])
+    return entities.unescape(" ".join(pieces)), declared
 
 
 def identify(df, model, id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, is_html: bool = False, least: float = 0.2, temper: float = 0.25, strength: float = 20.0, far: float = 6.0):
@@ -182,9 +205,9 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
                 part = batch.slice(at, 500)
                 declared, text, hosts, suffixes = part.column("declared").to_pylist(), part.column("text"), part.column("host").to_pylist(), []
                 if is_html:
-                    pages = [x or "" for x in text.to_pylist()]
-                    declared = [d or _declared_by(p) or None for d, p in zip(declared, pages, strict=True)]
-                    text = pa.array([_text_of(p) for p in pages], pa.string())
+                    read = [read_markup(x or "") for x in text.to_pylist()]
+                    declared = [d or own for d, (_, own) in zip(declared, read, strict=True)]
+                    text = pa.array([t.encode("utf-8", "replace").decode() for t, _ in read], pa.string())
                 for i, url in enumerate(part.column("url").to_pylist()):
                     m = _ADDRESS.match(url or "")
                     hosts[i] = hosts[i] or (m[1].lower() if m else None)
@@ -221,29 +244,24 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     sums = lambda table, *by: table.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("q"))
     counts = stored(sums(spread, *keys), "counts")
     total = sums(counts).first()
-    whole = (np.array(total.q) if total.q else np.zeros(n)) + 1.0
-    prior = F.lit((whole / whole.sum()).tolist())
-
-    def level(by, above, name):
-        """P(language | by), smoothed towards `above`."""
-        base = sums(counts, *by).withColumn("all", F.aggregate("q", F.lit(0.0), lambda a, x: a + x))
-        base = base.join(above.withColumnRenamed("p", "up"), list(by[:-1])) if above is not None else base.withColumn("up", prior)
-        p = F.transform(F.zip_with("q", "up", lambda x, u: x + F.lit(strength) * u), lambda x: x / (F.col("all") + F.lit(strength)))
-        return stored(base.select(*by, p.alias("p")), name)
-
-    suffix = level(["suffix"], None, "suffixes")
-    domain = level(["suffix", "domain"], suffix, "domains")
-    host = level(["suffix", "domain", "host"], domain, "hosts")
+    whole = F.lit(((np.array(total.q) if total.q else np.zeros(n)) + 1.0).tolist())
+    suffix = sums(counts, "suffix").withColumnRenamed("q", "of_suffix")
+    domain = sums(counts, "suffix", "domain").withColumnRenamed("q", "of_domain")
+    host = sums(counts, "suffix", "domain", "host").withColumnRenamed("q", "of_host").join(domain, ["suffix", "domain"]).join(suffix, "suffix")
+    host = stored(host.select(*[F.col(c).alias(f"k_{c}") for c in keys[1:]], "of_suffix", "of_domain", "of_host"), "hosts")
+    declared = stored(sums(counts, "declared").select(F.col("declared").alias("k_declared"), F.col("q").alias("of_declared")), "declared")
+
+    keyed = read_rows.select("*", *[F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in keys], F.coalesce(known, F.array_repeat(F.lit(0.0), n)).alias("own"))
+    both = keyed.join(declared, "k_declared", "left").join(host, [f"k_{c}" for c in keys[1:]], "left")
+    # what a row says itself is left out of what its neighbours say
+    others = lambda sums: F.zip_with(sums, "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    added = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    both = both.withColumn("all", F.zip_with(whole, "own", lambda x, y: F.greatest(x - y, F.lit(1e-9)))).withColumn("p", F.transform("all", lambda x: x / added("all")))
+    for level in ("of_suffix", "of_domain", "of_host"):
+        both = both.withColumn(level, others(level)).withColumn("p", F.zip_with(level, "p", lambda x, up: x + F.lit(strength) * up)).withColumn("p", F.transform("p", lambda x: x / added("p")))
     # P(declared | language) up to a factor that doesn't depend on the language
-    says = F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with("q", F.lit(whole.tolist()), lambda x, w: F.log((x + 1.0) / w)))
-    declared = stored(sums(counts, "declared").select("declared", says.alias("says")), "declared")
-    host = host.select("suffix", "domain", "host", F.transform("p", lambda x: F.log(x)).alias("usual"))
-
-    keyed = read_rows.select("*", *[F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in ("declared", "suffix", "domain", "host")])
-    declared = declared.withColumnRenamed("declared", "k_declared")
-    host = host.select(*[F.col(c).alias(f"k_{c}") for c in ("suffix", "domain", "host")], "usual")
-    both = keyed.join(declared, "k_declared", "left").join(host, ["k_suffix", "k_domain", "k_host"], "left")
-    score = F.zip_with(F.zip_with("logit", "says", lambda a, b: a + b), "usual", lambda a, b: a + b)
+    says = F.when(F.col("k_declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with(others("of_declared"), "all", lambda x, w: F.log((x + 1.0) / w)))
+    score = F.zip_with(F.zip_with("logit", says, lambda a, b: a + b), "p", lambda a, b: a + F.log(b))
     both = both.withColumn("score", score).withColumn("top", F.array_max("score"))
     both = both.withColumn("probability", F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     codes = F.lit(names)

@@ -74,10 +74,10 @@ def rake(cells, targets: dict, start: float = 1.0, rounds: int = 72, tolerance:
     if bad := now.filter(" or ".join([f"target_{d} is null or target_{d} < 0 or isnan(target_{d})" for d in dims] + [f"(tokens is null and target_{d} > 0)" for d in dims])).first():
         raise ValueError(f"targets don't fit the values of the cells: {bad.asDict()}")
     now, error = now.filter("tokens is not null"), None
-    if now.count() <= SMALL:
-        now = now.coalesce(1)  # one partition serves all windows without a shuffle; more cells are shuffled for each
+    # a few cells in one partition serve all windows without a shuffle; more are shuffled for each
+    near = (lambda x: x.coalesce(1)) if now.count() <= SMALL else (lambda x: x)
     for _ in range(0, rounds, BLOCK):
-        now = stored(now.sparkSession.sql(with_errors(scaled("{now}", dims, BLOCK), dims), now=now), "cells")
+        now = stored(now.sparkSession.sql(with_errors(scaled("{now}", dims, BLOCK), dims), now=near(now)), "cells")
         error = now.agg(F.max("error")).first()[0] or 0.0
         now = now.drop("error")
         if error < tolerance:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from .textops import slices, small_batches, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-GROUP_TOKENS = 4_000_000
-SLICE = 1 << 22
+GROUP_TOKENS = 2_000_000
+SLICE = 1 << 20
 _ENCODERS: dict = {}
 #: How this vocabulary's tokenizers cut texts before they merge bytes; a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,7 +63,7 @@ class Encoder:
     then all are forgotten) and looked up by their bytes. The file's added tokens hold no space and get their own ids
     wherever a text has them. ranks: a file of the same vocabulary as ranks, whose encoder gives the same ids sooner."""
 
-    def __init__(self, path: str, ranks: str | None = None, end_id: int = 0, most: int = 1 << 26):
+    def __init__(self, path: str, ranks: str | None = None, end_id: int = 0, most: int = 1 << 25):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.end_id = Tokenizer.from_file(path), most, end_id

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, licences, mixing, packing, repeats, scoring, stages, toolcalls, vectors
+from . import fingerprints, jaccard, language, licences, mixing, oracles, packing, repeats, scoring, stages, toolcalls, vectors
 from .textops import tokenizer_path
 
 
@@ -62,4 +62,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_context_tree, op2_repeated_passages, op3_language_evidence, op4_vector_groups, op5_mixture, op6_tool_calls, op7_licences, op8_fingerprints, op9_jaccard, op10_packing, pipeline)}
 
-SQL = {"op5_mixture": mixing.oracle()}
+SQL = {"op2_repeated_passages": oracles.repeats(50), "op4_vector_groups": oracles.vectors(0.98), "op5_mixture": mixing.oracle(), "op6_tool_calls": oracles.tool_calls(), "op9_jaccard": oracles.jaccard(3, 90, 100)}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .textops import same_row, slices, tidy, window_hashes, word_hashes, words
 
-PHRASE, SHARD_BYTES, MOST = 8, 4_000_000, 20_000
+PHRASE, SHARD_BYTES, MOST = 8, 2_000_000, 20_000
 LAST = 2**62
 
 
@@ -149,10 +149,8 @@ def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "do
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(2 * parts, -(-total // SHARD_BYTES))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    kind_of = {"key": pa.binary(), "name": pa.int64()}
-
-    def table_of(column, values, lo, hi, shard):
-        return pa.table([pa.array(values, kind_of[column]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(np.full(len(lo), shard, np.int64))], names=[column, "lo", "hi", "shard"])
+    def table_of(keys, names, lo, hi, shard):
+        return pa.table([pa.array(keys, pa.binary()), pa.array(names, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(np.full(len(lo), shard, np.int64))], names=["key", "name", "lo", "hi", "shard"])
 
     def candidates(key, table):
         ids, names, codes, docs_of = _ids(table), [], [], []
@@ -163,14 +161,15 @@ def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "do
                 codes.append(phrases)
                 docs_of.append(ids[at + rows[first]])
         if not names:
-            return table_of("key", [], [], [], 0)
+            return table_of([], [], [], [], 0)
         which, lo, hi = _ranges(np.concatenate(names), np.concatenate(docs_of))
         data, width = np.concatenate(codes)[which].tobytes(), 2 * phrase
         tidy()
-        return table_of("key", [data[i : i + width] for i in range(0, len(data), width)], lo, hi, key[0].as_py())
+        return table_of([data[i : i + width] for i in range(0, len(data), width)], np.zeros(len(lo), np.int64), lo, hi, key[0].as_py())
 
+    found = "key binary, name long, lo long, hi long, shard long"
     by = lambda c: Window.partitionBy(c)
-    seen = docs.groupBy("shard").applyInArrow(candidates, "key binary, lo long, hi long, shard long")
+    seen = docs.groupBy("shard").applyInArrow(candidates, found)
     seen = seen.withColumn("first", F.min("lo").over(by("key"))).withColumn("last", F.max("hi").over(by("key"))).filter("first < last").select("key", "shard")
 
     def confirm(key, table, wanted):
@@ -182,15 +181,17 @@ def remove_repeats(df, window: int = 50, phrase: int = PHRASE, id_col: str = "do
                 names.append(window_hashes(wh, size)[places])
                 docs_of.append(ids[at + rows[places]])
         if not names:
-            return table_of("name", [], [], [], 0)
-        every = np.concatenate(names)
+            return table_of([], [], [], [], 0)
+        every, keys = np.concatenate(names), wanted.column("key").to_pylist()
         which, lo, hi = _ranges(every, np.concatenate(docs_of))
         tidy()
-        return table_of("name", every[which].astype(np.int64), lo, hi, key[0].as_py())
+        # the phrases go along with the windows, under names that only spread them
+        spread = np.frombuffer(b"".join(keys), "<u2").reshape(len(keys), -1)[:, :4].copy() if phrase >= 4 else np.tile(np.arange(len(keys), dtype="<u2")[:, None], 4)
+        n, m = len(keys), len(which)
+        return table_of(keys + [None] * m, np.r_[spread.view("<i8").ravel(), every[which].astype(np.int64)], np.r_[np.full(n, LAST + 1), lo], np.r_[np.zeros(n, np.int64), hi], key[0].as_py())
 
-    again = docs.groupBy("shard").cogroup(seen.groupBy("shard")).applyInArrow(confirm, "name long, lo long, hi long, shard long")
-    again = again.withColumn("first", F.min("lo").over(by("name"))).filter("first < hi").select("name", "first", "shard")
-    told = again.select(F.lit(None).cast("binary").alias("key"), "name", "first", "shard").union(seen.select("key", F.lit(None).cast("long"), F.lit(None).cast("long"), "shard"))
+    again = docs.groupBy("shard").cogroup(seen.groupBy("shard")).applyInArrow(confirm, found)
+    told = again.withColumn("first", F.min("lo").over(by("name"))).filter("key is not null or first < hi").select("key", "name", "first", "shard")
 
     extra = [f for f in docs.schema.fields if f.name.startswith("carry_")]
     schema = "given long, kept string, n_words long, n_removed long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)

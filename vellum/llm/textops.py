@@ -8,6 +8,8 @@ they are the same in every process. Two different words or windows share a name
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -145,10 +147,14 @@ def tokenizer_path(kind: str = "json") -> str:
 
 
 def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors must share."""
+    """The folder in spark.checkpoint.dir, which driver and executors must share; where it is unset and Spark runs in one
+    process (as in tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
