@@ -51,6 +51,40 @@ def column_class(t: T.DataType) -> str:
     return "null" if isinstance(t, T.NullType) else "other"
 
 
+def type_of(v) -> T.DataType:
+    """The type of a column that holds the literal v."""
+    if isinstance(v, bool):
+        return T.BooleanType()
+    if isinstance(v, int):
+        return T.IntegerType() if -(2**31) <= v < 2**31 else T.LongType()
+    if isinstance(v, float):
+        return T.DoubleType()
+    if isinstance(v, Decimal):
+        _, digits, exponent = v.as_tuple()
+        scale = max(0, -exponent)
+        return T.DecimalType(min(38, max(len(digits) + max(0, exponent), scale)), scale)
+    if isinstance(v, (list, tuple)):
+        return T.ArrayType(type_of(v[0]) if v else T.NullType())
+    if isinstance(v, dict):
+        return T.StructType([T.StructField(k, type_of(x)) for k, x in v.items()])
+    return T.StringType() if isinstance(v, str) else T.BinaryType() if isinstance(v, bytes) else T.NullType() if v is None else T.TimestampType()
+
+
+def widened(t: T.DataType, v) -> T.DataType:
+    """The narrowest type that holds t's values and v, where both are numbers: int, long, double; decimals stay if v fits."""
+    if not is_number(v) or not isinstance(t, T.NumericType):
+        return t
+    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    if isinstance(t, T.DecimalType):
+        x = Fraction(v) * 10**t.scale if not isinstance(v, float) or math.isfinite(v) else Fraction(1, 2)
+        return t if x.denominator == 1 and abs(x) < 10**t.precision else T.DoubleType()
+    whole = not isinstance(v, int) and math.isfinite(v) and v == int(v)
+    own = type_of(int(v)) if whole else type_of(v)
+    a = next((i for i, x in enumerate(order) if isinstance(t, type(x))), 2 if isinstance(t, T.FloatType) else 0)
+    b = order.index(own) if own in order else 2
+    return t if a >= b else order[b]
+
+
 def _exact(v) -> Fraction:
     return Fraction(v)
 

@@ -36,6 +36,29 @@ def schema_of(kind) -> T.DataType:
     return _PLAIN[kind]
 
 
+def from_rows(rows, kind) -> list:
+    """Rows (or dicts) as instances of a dataclass: its fields only, null for absent ones."""
+    return [_from(r.asDict(True) if hasattr(r, "asDict") else r, kind) for r in rows]
+
+
+def _from(x, kind):
+    origin, args = typing.get_origin(kind), typing.get_args(kind)
+    if x is None:
+        return None
+    if origin is typing.Union or type(kind).__name__ == "UnionType":
+        return _from(x, next(a for a in args if a is not type(None)))
+    if origin in (list, set, tuple, frozenset):
+        return origin(_from(v, args[0]) for v in x)
+    if origin is dict:
+        return {k: _from(v, args[1]) for k, v in x.items()}
+    if dataclasses.is_dataclass(kind):
+        hints = typing.get_type_hints(kind)
+        return kind(**{f.name: _from(x.get(f.metadata.get("name", camel(f.name))), hints[f.name]) for f in dataclasses.fields(kind) if not f.metadata.get("ignore")})
+    if isinstance(kind, type) and issubclass(kind, (enum.Enum, uuid.UUID)):
+        return kind(x)
+    return dt.timedelta(microseconds=x // 10) if kind is dt.timedelta else x
+
+
 def to_row(x):
     """A dataclass instance as plain values for createDataFrame."""
     if dataclasses.is_dataclass(x):

@@ -85,6 +85,16 @@ def slice_of(c: Column, t: T.DataType, arg) -> Column:
     return F.slice(c, 1, arg) if arg >= 0 else F.slice(c, F.greatest(F.size(c) + arg, F.lit(0)) + 1, -arg)
 
 
+def id_of(schema: T.StructType, spec: dict | None, ties: tuple) -> tuple:
+    """(spec, id column) of a collection whose key is the first of ties; '_id' in spec means the key, wherever it has another
+    name and isn't named itself."""
+    key = ties[0] if ties else "_id"
+    if spec and key != "_id" and "_id" in spec and "_id" not in schema.names:
+        spec = {(key if n == "_id" else n): v for n, v in spec.items() if n != "_id" or key not in spec}
+        spec = spec or {key: 1}
+    return spec, key
+
+
 def project(df: DataFrame, spec: dict | None, id_col: str = "_id") -> DataFrame:
     """df with the projected columns."""
     return df.select(*projected(df.schema, spec, id_col))

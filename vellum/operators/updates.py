@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from ..functions.compare import is_number, literal, negate, same
+from ..functions.compare import column_class, is_number, literal, negate, same, type_of, value_class, widened
+from ..functions.ids import object_id
 from ..plans.filters import compile_filter, field, is_operators
+from .pipeline import at
 
 OPERATORS = ("$set", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$push", "$addToSet", "$pull", "$pop", "$currentDate")
 
@@ -41,27 +43,19 @@ def validate(update: dict, id_col: str = "_id") -> bool:
     return True
 
 
-def _type_of(v) -> T.DataType:
-    if isinstance(v, bool):
-        return T.BooleanType()
-    if isinstance(v, int):
-        return T.IntegerType() if -(2**31) <= v < 2**31 else T.LongType()
-    if isinstance(v, float):
-        return T.DoubleType()
-    if isinstance(v, (list, tuple)):
-        return T.ArrayType(_type_of(v[0]) if v else T.NullType())
-    if isinstance(v, dict):
-        return T.StructType([T.StructField(k, _type_of(x)) for k, x in v.items()])
-    return T.StringType() if isinstance(v, str) else T.BinaryType() if isinstance(v, bytes) else T.NullType() if v is None else T.TimestampType()
+def _sum_type(t: T.DataType, v) -> T.DataType:
+    """The type of arithmetic on t and v: whole numbers are long, so that what leaves int's range is right."""
+    kind = widened(t, v)
+    return T.LongType() if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) else T.DoubleType() if isinstance(kind, T.FloatType) else kind
 
 
-def _wide(t: T.DataType, v) -> T.DataType:
-    """The type of arithmetic on t and v: int to long to double."""
-    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
-    if isinstance(t, T.DecimalType):
-        return t
-    a = next((i for i, x in enumerate(order) if isinstance(t, type(x))), 2)
-    return order[max(a, order.index(_type_of(v)) if _type_of(v) in order else 2)]
+def _fitting(t: T.DataType | None, v, what: str) -> T.DataType:
+    """The type of a field of type t that is to hold v."""
+    if t is None or isinstance(t, T.NullType):
+        return type_of(v)
+    if v is not None and value_class(v) != column_class(t):
+        raise EngineError(f"{what} of a {value_class(v)} to a field of {column_class(t)}s")
+    return widened(t, v)
 
 
 def _equals(t: T.DataType, v):
@@ -71,23 +65,23 @@ def _equals(t: T.DataType, v):
 def changed(op: str, c: Column | None, t: T.DataType | None, v) -> Column:
     """The new value of a field c of type t (None: the schema has no such field)."""
     if op == "$set":
-        return literal(v, t if t is not None and not isinstance(t, T.NullType) else _type_of(v))
+        return literal(v, _fitting(t, v, op))
     if op == "$unset":
         return F.lit(None).cast(t or T.NullType())
     if op == "$currentDate":
         return F.date_trunc("millisecond", F.current_timestamp()).cast(t or T.TimestampType())
     if op in ("$inc", "$mul"):
         if c is None:
-            return literal(v if op == "$inc" else type(v)(0), _type_of(v))
+            return literal(v if op == "$inc" else type(v)(0), type_of(v))
         if not isinstance(t, T.NumericType):
             raise EngineError(f"{op} of a field that isn't a number")
-        kind = _wide(t, v)
+        kind = _sum_type(t, v)
         x = literal(v, kind)
         return F.coalesce(c.cast(kind) + x, x) if op == "$inc" else F.coalesce(c.cast(kind) * x, F.lit(0).cast(kind))
     if op in ("$min", "$max"):
         if c is None:
-            return literal(v, _type_of(v))
-        kind = _wide(t, v) if is_number(v) and isinstance(t, T.NumericType) else t
+            return literal(v, type_of(v))
+        kind = widened(t, v)
         x, own = literal(v, kind), c.cast(kind)
         nan = F.isnan(own) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False)
         less = nan | (own <= x)
@@ -95,10 +89,13 @@ def changed(op: str, c: Column | None, t: T.DataType | None, v) -> Column:
         return F.when(own.isNull(), own if op == "$min" else x).when(less if op == "$min" else ~nan & (own >= x), own).otherwise(x)
     each = v["$each"] if isinstance(v, dict) and list(v) == ["$each"] else [v]
     if op in ("$push", "$addToSet"):
-        kind = t.elementType if isinstance(t, T.ArrayType) else _type_of(each[0]) if each else T.NullType()
         if t is not None and not isinstance(t, T.ArrayType):
             raise EngineError(f"{op} to a field that isn't an array")
-        out = F.coalesce(c, F.array().cast(T.ArrayType(kind))) if c is not None else F.array().cast(T.ArrayType(kind))
+        kind = t.elementType if isinstance(t, T.ArrayType) else None
+        for x in each:
+            kind = _fitting(kind, x, op)
+        kind = kind or T.NullType()
+        out = F.coalesce(c.cast(T.ArrayType(kind)), F.array().cast(T.ArrayType(kind))) if c is not None else F.array().cast(T.ArrayType(kind))
         for x in each:
             one = F.array(literal(x, kind))
             grown = F.concat(out, one)
@@ -114,13 +111,49 @@ def changed(op: str, c: Column | None, t: T.DataType | None, v) -> Column:
     return F.when(c.isNotNull(), F.slice(c, 2, size) if v < 0 else F.slice(c, 1, size))
 
 
-def _nested(c: Column, t: T.StructType, path: list[str], make) -> Column:
+def _nested(c: Column | None, t: T.StructType, path: list[str], make) -> Column:
+    """c with the field at path made anew; documents on the way that are null or not in the schema are created."""
     f = field(t, path[0])
+    base = None if c is None or not t.fields else F.when(c.isNull(), F.struct(*[F.lit(None).cast(x.dataType).alias(x.name) for x in t.fields])).otherwise(c)
+    own = c[path[0]] if f and c is not None else None
     if len(path) == 1:
-        return c.withField(path[0], make(c[path[0]] if f else None, f.dataType if f else None))
-    if f is None or not isinstance(f.dataType, T.StructType):
-        raise EngineError(f"no document at {path[0]}")
-    return c.withField(path[0], _nested(c[path[0]], f.dataType, path[1:], make))
+        new = make(own, f.dataType if f else None)
+    else:
+        if f is not None and not isinstance(f.dataType, T.StructType):
+            raise EngineError(f"no document at {path[0]}")
+        new = _nested(own, f.dataType if f else T.StructType([]), path[1:], make)
+    return F.struct(new.alias(path[0])) if base is None else base.withField(path[0], new)
+
+
+def _without(c: Column, t: T.StructType, path: list[str]) -> Column:
+    """c with the field at path null."""
+    f = field(t, path[0])
+    inner = F.lit(None).cast(f.dataType) if len(path) == 1 else _without(c[path[0]], f.dataType, path[1:])
+    return F.when(c.isNotNull(), c.withField(path[0], inner))
+
+
+def _put(df: DataFrame, path: list[str], make) -> DataFrame:
+    """df with the field at path made anew where __match holds."""
+    f = field(df.schema, path[0])
+    old = F.col(f"`{path[0]}`") if f else None
+    if len(path) > 1:
+        if f is not None and not isinstance(f.dataType, T.StructType):
+            raise EngineError(f"no document at {path[0]}")
+        new = _nested(old, f.dataType if f else T.StructType([]), path[1:], make)
+    else:
+        new = make(old, f.dataType if f else None)
+    if old is not None and isinstance(f.dataType, T.StructType):
+        kind = df.select(new.alias("x")).schema["x"].dataType
+        old = old if kind == f.dataType else _as(old, f.dataType, kind)
+    return df.withColumn(path[0], F.when(F.col("__match"), new).otherwise(old if old is not None else F.lit(None)))
+
+
+def _as(c: Column, t: T.DataType, to: T.DataType) -> Column:
+    """c of type t as the wider type `to`: fields that t lacks are null."""
+    if not isinstance(t, T.StructType):
+        return c.cast(to)
+    parts = [(_as(c[f.name], field(t, f.name).dataType, f.dataType) if field(t, f.name) else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]
+    return F.when(c.isNotNull(), F.struct(*parts))
 
 
 def apply(df: DataFrame, matches: Column, update: dict) -> DataFrame:
@@ -129,35 +162,41 @@ def apply(df: DataFrame, matches: Column, update: dict) -> DataFrame:
     for op, fields in update.items():
         for name, v in fields.items():
             path = name.split(".")
-            f = field(df.schema, path[0])
+            c, t = at(df.schema, name)
             if op == "$rename":
-                if f is None:
+                if c is None:
                     continue
-                target = field(df.schema, v)
-                moved = F.when(F.col("__match"), F.col(f"`{name}`")).otherwise(F.col(f"`{v}`") if target else F.lit(None))
-                df = df.withColumn(v, moved).withColumn(name, F.when(~F.col("__match"), F.col(f"`{name}`")))
-                continue
-            if f is None and (op in ("$unset", "$pull", "$pop")):
-                continue
-            old = F.col(f"`{path[0]}`") if f else None
-            if len(path) > 1:
-                if f is None or not isinstance(f.dataType, T.StructType):
-                    raise EngineError(f"no document at {path[0]}")
-                new = _nested(old, f.dataType, path[1:], lambda c, t, op=op, v=v: changed(op, c, t, v))
-            else:
-                new = changed(op, old, f.dataType if f else None, v)
-            df = df.withColumn(path[0], F.when(F.col("__match"), new).otherwise(old if old is not None else F.lit(None)))
+                df = _put(df.withColumn("__moved", c), v.split("."), lambda old, kind, t=t: F.col("__moved"))
+                f = field(df.schema, path[0])
+                gone = _without(F.col(f"`{path[0]}`"), f.dataType, path[1:]) if len(path) > 1 else F.lit(None).cast(f.dataType)
+                df = df.withColumn(path[0], F.when(F.col("__match"), gone).otherwise(F.col(f"`{path[0]}`"))).drop("__moved")
+            elif c is not None or op not in ("$unset", "$pull", "$pop"):
+                df = _put(df, path, lambda c, t, op=op, v=v: changed(op, c, t, v))
     return df.drop("__match")
 
 
-def replace(df: DataFrame, matches: Column, document: dict, id_col: str = "_id") -> DataFrame:
-    """df with the matching rows' fields replaced; fields that the document lacks become null, the id stays."""
-    extra = [k for k in document if k not in df.columns]
-    for k in extra:
-        df = df.withColumn(k, F.lit(None).cast(_type_of(document[k])))
+def outcome(df: DataFrame, matches: Column, update: dict, id_col: str = "_id") -> DataFrame:
+    """One row: how many documents of df match and how many of them an update changes."""
+    names = df.columns
+    held = df.withColumn("__old", F.struct(*[F.col(f"`{c}`") for c in names])).withColumn("__hit", F.coalesce(matches, F.lit(False)))
+    new = apply(held, F.col("__hit"), update) if is_operators(update) else replace(held, F.col("__hit"), update | {"__keep": None}, id_col, ("__old", "__hit"))
+    differs = F.lit(False)
+    for f in new.schema.fields:
+        if f.name not in ("__old", "__hit"):
+            was = F.col("__old")[f.name] if f.name in names else F.lit(None)
+            same_type = f.name in names and df.schema[f.name].dataType == f.dataType
+            differs |= ~F.col(f"`{f.name}`").eqNullSafe(was if same_type or f.name not in names else was.cast(f.dataType))
+    return new.agg(F.count(F.when(F.col("__hit"), 1)).alias("matched"), F.count(F.when(F.col("__hit") & differs, 1)).alias("modified"))
+
+
+def replace(df: DataFrame, matches: Column, document: dict, id_col: str = "_id", kept: tuple = ()) -> DataFrame:
+    """df with the matching rows' fields replaced; fields that the document lacks become null, the id (and `kept`) stays."""
+    document = {k: v for k, v in document.items() if k != "__keep"}
     df = df.withColumn("__match", F.coalesce(matches, F.lit(False)))
-    cols = [F.col(f.name) if f.name == id_col else F.when(F.col("__match"), literal(document.get(f.name), f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in df.schema.fields if f.name != "__match"]
-    return df.select(*cols)
+    for name in [*df.columns, *[k for k in document if k not in df.columns]]:
+        if name not in (id_col, "__match", *kept):
+            df = _put(df, [name], lambda c, t, v=document.get(name): changed("$set", c, t, v))
+    return df.drop("__match")
 
 
 def seed(spec: dict) -> dict:
@@ -177,11 +216,20 @@ def seed(spec: dict) -> dict:
 
 
 def upsert(df: DataFrame, spec: dict, update: dict, id_col: str = "_id") -> DataFrame:
-    """The rows to add to df when nothing matches spec: one, or none. A scalar check, not a collected result."""
-    start = seed(spec)
-    if not validate(update, id_col):
+    """The rows to add to df when nothing matches spec: one, or none. A scalar check, not a collected result.
+
+    The row starts from spec's equality conditions, at any path. A key that they don't give is a new object id where the
+    key is a string, else an error."""
+    start, operators = seed(spec), validate(update, id_col)
+    if not operators:
         start = ({id_col: start[id_col]} if id_col in start else {}) | update
-    columns = [literal(start.get(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
-    some = df.filter(compile_filter(spec, df.schema)).limit(1).agg(F.count(F.lit(1)).alias("__n"))
-    row = some.filter("__n = 0").select(*columns)
-    return apply(row, F.lit(True), update) if validate(update, id_col) else row
+    row = df.filter(compile_filter(spec, df.schema)).limit(1).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 0")
+    row = row.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    if start:
+        row = apply(row, F.lit(True), {"$set": start})
+    key = field(df.schema, id_col)
+    if key is not None and start.get(id_col) is None:
+        if not isinstance(key.dataType, T.StringType):
+            raise EngineError(f"an upsert needs a {id_col}")
+        row = row.withColumn(id_col, object_id())
+    return apply(row, F.lit(True), update) if operators else row

@@ -144,7 +144,7 @@ def condition(path: list[str], op: str, v, options: str, reach) -> Column:
             raise EngineError("$size wants a number")
         return reach(lambda c, t: (F.size(c) == int(v)) if isinstance(t, T.ArrayType) else F.lit(False), F.lit(False))
     if op == "$type":
-        name = TYPE_NAMES.get(v.lower() if isinstance(v, str) else v)
+        name = TYPE_NAMES.get(v.lower() if isinstance(v, str) else v) if isinstance(v, (str, int, float)) and not isinstance(v, bool) else None
         if name is None:
             raise EngineError(f"no type {v!r}")
         return reach(any_of(_typed(name)), F.lit(False))
@@ -160,6 +160,7 @@ def condition(path: list[str], op: str, v, options: str, reach) -> Column:
     if op == "$elemMatch":
         if not isinstance(v, dict):
             raise EngineError("$elemMatch wants a document")
+        check_element(v)
         return reach(lambda c, t: (F.exists(c, lambda x: element(x, t.elementType, v))) if isinstance(t, T.ArrayType) else F.lit(False), F.lit(False))
     raise EngineError(f"unknown operator {op}")
 
@@ -171,6 +172,18 @@ def element(x: Column, t: T.DataType, v: dict) -> Column:
     return x.isNotNull() & compile_filter(v, t, x) if isinstance(t, T.StructType) else F.lit(False)
 
 
+def check(spec: dict | None) -> None:
+    """An error where a filter isn't valid, whatever the schema."""
+    compile_filter(spec, T.StructType([]))
+
+
+def check_element(v: dict) -> None:
+    if is_operators(v) and next(iter(v)) not in ("$and", "$or", "$nor"):
+        conditions([], v, lambda leaf, missing: missing)
+    else:
+        check(v)
+
+
 def is_operators(v) -> bool:
     return isinstance(v, dict) and bool(v) and next(iter(v)).startswith("$")
 

@@ -25,7 +25,7 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def rewrite(collection: Collection, path: str) -> Collection:
     """A compact copy, sorted by key, in a new folder; an existing one is an error."""
-    df = collection.df.sortWithinPartitions(collection.id_col) if collection.id_col else collection.df
+    df = collection.df
     if collection.id_col:
         df = collection.df.repartitionByRange(collection.id_col).sortWithinPartitions(collection.id_col)
     df.write.mode("errorifexists").parquet(path)
