@@ -582,3 +582,34 @@ def test_posterior_against_brute_force(spark, docs):
         post = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
         if got[i].text_lang != "und":
             assert got[i].lang == names[int(post.argmax())] and got[i].probability == pytest.approx(post.max(), rel=1e-6)
+
+
+def test_null_ids(spark, docs):
+    """Rows whose ids are null or equal are rows like others."""
+    base = docs.filter("doc_id in (3, 5, 8)").collect()
+    rows = [(None, base[0].text), (None, base[1].text), (None, base[0].text), (7, base[0].text), (7, base[2].text), (7, None), (None, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(odd).collect())
+    assert found == Counter({(7, 7): 3, (None, 7): 2, (None, None): 2})
+    kept = repeats.remove_repeats(odd).collect()
+    assert len(kept) == 7 and sum(r.n_removed for r in kept) == 2 * len(base[0].text.split()) if len(base[0].text.split()) >= 50 else len(kept) == 7
+    assert len(scoring.score(odd).collect()) == len(licences.scan(odd).collect()) == len(fingerprints.edited_likeness(odd).collect()) == 7
+    assert {r.doc_id for r in packing.pack(odd, textops.tokenizer_path()).collect()} == {7, None}
+    model = language.fit(docs)
+    assert len(language.identify(odd, model, "doc_id", "text", host_col="source").collect()) == 7
+    assert 0 < mixing.mix(odd, share=1.0).count() <= 7
+    vecs = spark.createDataFrame([(None, [1.0, 0.0], 0), (4, [1.0, 0.0], 0), (4, [2.0, 0.1], 0), (None, None, 0)], "vec_id long, embedding array<double>, label int")
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(vecs).collect()) == Counter({(None, 2, 4): 1, (4, 2, 4): 2, (None, 0, None): 1})
+
+
+def test_vectors_at_the_threshold(spark):
+    """Cosines of exactly 0.98 link, those just below don't; many copies and near copies are counted, never paired."""
+    exact = [(1, [1.0, 0.0]), (2, [0.98, math.sqrt(1 - 0.98**2)]), (3, [0.9799, -math.sqrt(1 - 0.9799**2)])]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in exact], "vec_id long, embedding array<double>, label int")).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
+    assert got == {i: sum(cosine(v, w) >= 0.98 for j, w in exact if j != i) for i, v in exact}
+    rng = np.random.default_rng(3)
+    center = rng.standard_normal(16)
+    near = [(i, (center + rng.standard_normal(16) * (0.001 if i % 2 else 0)).tolist(), 0) for i in range(3000)]
+    rows = vectors.near_vectors(spark.createDataFrame(near, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(2999, 0)}

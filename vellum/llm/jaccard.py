@@ -17,7 +17,8 @@ Exact set similarity join of word shingles: documents link when |A & B| / |A | B
    may differ in shingles, or its first common shingle comes too late. No link between components is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer than n words are one
-shingle; ties and repeated rows are equal sets; an empty table gives an empty result; extra columns don't matter.
+shingle; ties and repeated rows are equal sets; null ids are larger than all others; very long texts are sets like others;
+an empty table gives an empty result; extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest linked doc_id)."""
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))  # tells rows apart whose ids are equal or null
 
     def sketch(batches):
         table = np.zeros(1 << CLASS_BITS, np.uint32)
@@ -122,7 +124,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         seen: set[int] = set()
         table = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc").to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
             for r, s in _sets(batch, n, lower):
                 sid = set_name(s)
@@ -131,7 +133,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
                 seen.add(sid)
                 tokens, ell = prefix(s, table, num, den)
                 k = len(tokens)
-                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, ids[r] if ids[r] is not None else 2**62), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, ell, np.int32)), strict=True):
+                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, ids[r]), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, ell, np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "doc", "n", "pos", "ell"])
@@ -164,7 +166,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     )
     star = stored(enough(star).select("a", "b", "n_a", "n_b"), "pairs")
     firsts = stored(rows.groupBy("sid").agg(F.min("doc").alias("doc")), "firsts")
-    own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(2**62))).select("doc", "text")
+    own = docs.select("doc", "text")
 
     def of_texts(batches):
         for batch in batches:

@@ -5,7 +5,9 @@ split into blocks; block b gets the share of that budget that it has of the dime
 within budget in at least one block. Each block is range-joined on a grid over its first two dimensions: a vector
 has a home cell and visits the cells within the block's radius, and cells are dealt into bounded parts. A task
 compares block distances, takes each pair in its first block only, and verifies the cosine in double precision.
-Pairs never leave a task: it returns sums of links per vector and a spanning set of links.
+Pairs never leave a task: it returns sums of links per vector and a spanning set of links. Within a task, a band over the
+block's last dimension leaves out most pairs before distances are taken. Vectors travel as 4-byte numbers where these hold
+them exactly.
 
 Equal vectors (of a label) are one node with a count, so a group of copies costs nothing.
 
@@ -16,6 +18,8 @@ different vectors; an empty table gives an empty result; further columns don't m
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ from .textops import U, components, mix, stored
 PART_ROWS = 2000
 
 
+@functools.lru_cache
 def rotation(size: int, seed: int = 7) -> np.ndarray:
     q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
@@ -34,6 +39,24 @@ def blocks_of(size: int, blocks: int) -> list[np.ndarray]:
     return [b for b in np.array_split(np.arange(size), min(blocks, max(1, size))) if len(b)]
 
 
+def unpacked(data: list[bytes], sizes) -> np.ndarray:
+    """Vectors of one size as doubles, from their 4- or 8-byte numbers."""
+    return np.vstack([np.frombuffer(b, np.float32 if len(b) == 4 * n else np.float64) for b, n in zip(data, sizes, strict=True)]).astype(float)
+
+
+def join_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Merges the trees of p and q in root, where each node points at the smallest of its tree."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q = p[apart], q[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (top := root[root]).tolist() != root.tolist():
+            root[:] = top
+
+
 def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"):
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -42,28 +65,33 @@ def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "ve
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                names, data = [], []
+                names, data, sizes = [], [], []
                 for label, v in zip(part.column("label").to_pylist(), part.column("v").to_pylist(), strict=True):
                     x = np.array([np.nan if e is None else e for e in v or []], float) + 0.0
                     fine = label is not None and len(x) and np.isfinite(x).all() and (scale := np.abs(x).max()) > 0
                     if fine:
                         places = np.arange(len(x), dtype=U) + U(1)
-                        own = mix(x.view(U) + mix(places)).sum(dtype=U) + mix(np.frombuffer(label.encode().ljust(8 * (len(label.encode()) // 8 + 1), b"\0"), U) * U(3) + U(1)).sum(dtype=U)
-                        names.append(int(mix(np.array([own]))[0].astype(np.int64)))
-                        data.append((x / scale if not 1e-100 < scale < 1e100 else x).tobytes())
+                        letters = np.frombuffer(label.encode(), np.uint8).astype(U) + U(1)
+                        own = np.r_[mix(x.view(U) + mix(places)), mix(letters + mix(np.arange(len(letters), dtype=U) + U(1 << 40)))]
+                        names.append(int(mix(own.sum(dtype=U, keepdims=True))[0].astype(np.int64)))
+                        x = x / scale if not 1e-100 < scale < 1e100 else x
+                        short = x.astype(np.float32)
+                        data.append((short if (short == x).all() else x).tobytes())
+                        sizes.append(len(x))
                     else:
                         names.append(None)
                         data.append(None)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["vec_id", "label", "name", "data"])
+                        sizes.append(None)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(names, pa.int64()), pa.array(data, pa.binary()), pa.array(sizes, pa.int32())], ["vec_id", "label", "name", "data", "size"])
 
-    named = stored(rows.mapInArrow(name, "vec_id long, label string, name long, data binary"), "vectors")
-    nodes = named.filter("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"))
+    named = stored(rows.mapInArrow(name, "vec_id long, label string, name long, data binary, size int"), "vectors")
+    nodes = named.filter("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"), F.first("size").alias("size"))
     nodes = stored(nodes, "nodes")
 
     limit = 2 - 2 * threshold
 
     def parsed(table):
-        v = np.vstack([np.frombuffer(b) for b in table.column("data").to_pylist()])
+        v = unpacked(table.column("data").to_pylist(), table.column("size").to_pylist())
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
         return v, unit @ rotation(v.shape[1])
 
@@ -73,7 +101,7 @@ def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "ve
     def cells(batches):
         names = ["name", "copies", "label", "data", "size", "block", "cell", "home"]
         for batch in batches:
-            sizes = np.array([len(b) // 8 for b in batch.column("data").to_pylist()], np.int64)
+            sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
                 _, turned = parsed(part)
@@ -98,7 +126,7 @@ def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "ve
                         sub = part.take(pa.array(at[s]))
                         yield pa.RecordBatch.from_arrays([sub.column(c) for c in names[:4]] + [pa.array(np.full(sub.num_rows, size, np.int32)), pa.array(np.full(sub.num_rows, k, np.int32)), pa.array(np.concatenate(codes)[s]), pa.array(np.concatenate(homes)[s])], names)
 
-    spots = nodes.select("name", "copies", "label", "data").mapInArrow(cells, "name long, copies long, label string, data binary, size int, block int, cell long, home boolean")
+    spots = nodes.select("name", "copies", "label", "data", "size").mapInArrow(cells, "name long, copies long, label string, data binary, size int, block int, cell long, home boolean")
     where = ["label", "size", "block", "cell"]
     parts = stored(spots.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "cells")
     spots = spots.join(parts, where).withColumn("part", F.pmod("name", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -119,36 +147,31 @@ def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "ve
         norms = np.linalg.norm(v, axis=1)
         split = blocks_of(size, blocks)
         x, y = turned[hosts][:, split[k]], turned[guests][:, split[k]]
-        sums, trees, root = {}, [], {}
-
-        def find(i):
-            while root.get(i, i) != i:
-                root[i] = root.get(root[i], root[i])
-                i = root[i]
-            return i
-
-        for at in range(0, len(hosts), 256):
-            far = (x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[at : at + 256] @ y.T
-            h, g = np.nonzero(far <= radius(split[k], size) ** 2 + 1e-9)
-            p, q = hosts[at + h], guests[g]
+        # both sides in the order of the block's last dimension: a slice of hosts meets the guests within the radius of it
+        hosts, guests = hosts[np.argsort(x[:, -1])], guests[np.argsort(y[:, -1])]
+        x, y = turned[hosts][:, split[k]], turned[guests][:, split[k]]
+        r = radius(split[k], size)
+        sums, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        for at in range(0, len(hosts), 128):
+            some = x[at : at + 128]
+            lo, hi = np.searchsorted(y[:, -1], [some[0, -1] - r, some[-1, -1] + r])
+            near = y[lo:hi]
+            far = (some**2).sum(1)[:, None] + (near**2).sum(1)[None] - 2 * some @ near.T
+            h, g = np.nonzero(far <= r**2 + 1e-9)
+            p, q = hosts[at + h], guests[lo + g]
             fine = names[p] < names[q]
             p, q = p[fine], q[fine]
             for b in range(k):
                 fine = ((turned[p][:, split[b]] - turned[q][:, split[b]]) ** 2).sum(1) > radius(split[b], size) ** 2
                 p, q = p[fine], q[fine]
             fine = np.einsum("ij,ij->i", v[p], v[q]) / (norms[p] * norms[q]) >= threshold
-            for i, j in zip(p[fine].tolist(), q[fine].tolist(), strict=True):
-                sums[i] = sums.get(i, 0) + int(copies[j])
-                sums[j] = sums.get(j, 0) + int(copies[i])
-                a, b = find(i), find(j)
-                if a != b:
-                    root[a] = b
-                    trees.append((int(names[i]), int(names[j])))
-        if not trees:
-            return empty
-        a = [x for x, _ in trees] + [int(names[i]) for i in sums]
-        b = [y for _, y in trees] + [None] * len(sums)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([0] * len(trees) + list(sums.values()), pa.int64())})
+            p, q = p[fine], q[fine]
+            np.add.at(sums, p, copies[q])
+            np.add.at(sums, q, copies[p])
+            join_roots(root, p, q)
+        tree, some = np.flatnonzero(root != np.arange(len(names))), np.flatnonzero(sums)
+        a, b = np.r_[names[root[tree]], names[some]], [*names[tree].tolist(), *[None] * len(some)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.r_[np.zeros(len(tree), np.int64), sums[some]], pa.int64())})
 
     found = stored(spots.groupBy(*where, "i", "j").applyInArrow(join, "a long, b long, n long"), "found")
     labels = components(found.filter("b is not null").select("a", "b"))
