@@ -245,23 +245,25 @@ def identify(df, model, id_col: str, text_col: str, declared_col: str | None = N
     counts = stored(sums(spread, *keys), "counts")
     total = sums(counts).first()
     whole = F.lit(((np.array(total.q) if total.q else np.zeros(n)) + 1.0).tolist())
-    suffix = sums(counts, "suffix").withColumnRenamed("q", "of_suffix")
-    domain = sums(counts, "suffix", "domain").withColumnRenamed("q", "of_domain")
-    host = sums(counts, "suffix", "domain", "host").withColumnRenamed("q", "of_host").join(domain, ["suffix", "domain"]).join(suffix, "suffix")
-    host = stored(host.select(*[F.col(c).alias(f"k_{c}") for c in keys[1:]], "of_suffix", "of_domain", "of_host"), "hosts")
+    added = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    level = lambda name, *by: sums(counts, *by).select(*by, F.col("q").alias(f"of_{name}"), added("q").alias(f"n_{name}"))
+    host = level("host", "suffix", "domain", "host").join(level("domain", "suffix", "domain"), ["suffix", "domain"]).join(level("suffix", "suffix"), "suffix")
+    host = stored(host.select(*[F.col(c).alias(f"k_{c}") for c in keys[1:]], *[f"{x}_{c}" for c in keys[1:] for x in ("of", "n")]), "hosts")
     declared = stored(sums(counts, "declared").select(F.col("declared").alias("k_declared"), F.col("q").alias("of_declared")), "declared")
 
-    keyed = read_rows.select("*", *[F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in keys], F.coalesce(known, F.array_repeat(F.lit(0.0), n)).alias("own"))
+    keyed = read_rows.select("*", *[F.coalesce(c, F.lit("")).alias(f"k_{c}") for c in keys], F.coalesce(known, F.array_repeat(F.lit(0.0), n)).alias("own"), F.when(known.isNotNull(), 1.0).otherwise(0.0).alias("one"))
     both = keyed.join(declared, "k_declared", "left").join(host, [f"k_{c}" for c in keys[1:]], "left")
     # what a row says itself is left out of what its neighbours say
     others = lambda sums: F.zip_with(sums, "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    added = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    both = both.withColumn("all", F.zip_with(whole, "own", lambda x, y: F.greatest(x - y, F.lit(1e-9)))).withColumn("p", F.transform("all", lambda x: x / added("all")))
-    for level in ("of_suffix", "of_domain", "of_host"):
-        both = both.withColumn(level, others(level)).withColumn("p", F.zip_with(level, "p", lambda x, up: x + F.lit(strength) * up)).withColumn("p", F.transform("p", lambda x: x / added("p")))
+    every = F.zip_with(whole, "own", lambda x, y: F.greatest(x - y, F.lit(1e-9)))
+    size = (float(sum(total.q)) if total.q else 0.0) + n
+    p = F.transform(every, lambda x: x / (F.lit(size) - F.col("one")))
+    for c in keys[1:]:
+        scale = F.greatest(F.col(f"n_{c}") - F.col("one"), F.lit(0.0)) + F.lit(strength)
+        p = F.transform(F.zip_with(others(f"of_{c}"), p, lambda x, up: x + F.lit(strength) * up), lambda x: x / scale)  # noqa: B023
     # P(declared | language) up to a factor that doesn't depend on the language
-    says = F.when(F.col("k_declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with(others("of_declared"), "all", lambda x, w: F.log((x + 1.0) / w)))
-    score = F.zip_with(F.zip_with("logit", says, lambda a, b: a + b), "p", lambda a, b: a + F.log(b))
+    says = F.when(F.col("k_declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with(others("of_declared"), every, lambda x, w: F.log((x + 1.0) / w)))
+    score = F.zip_with(F.zip_with("logit", says, lambda a, b: a + b), p, lambda a, b: a + F.log(b))
     both = both.withColumn("score", score).withColumn("top", F.array_max("score"))
     both = both.withColumn("probability", F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     codes = F.lit(names)

@@ -9,6 +9,8 @@ texts have no letters and go at the first stage; null ids and repeated rows are
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from . import jaccard, language, mixing, packing, repeats, textops
@@ -16,19 +18,41 @@ from . import jaccard, language, mixing, packing, repeats, textops
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_left: list[str] = []
+
+
+def _tidied(stage):
+    """The stage, which first deletes the tables that the stage before it needed until its result was written."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        textops.removed(spark, _left)
+        _left.clear()
+        at = len(textops.STORED)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(textops.STORED[at:])
+        return out
+
+    return run
+
+
+@_tidied
 def language_stage(spark, docs, sf_dir):
-    """Documents whose language the evidence names; text, the declared language and the source as host count."""
-    numbered = textops.stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = language.identify(numbered, language.fit(docs), "_row", "text", declared_col="lang", host_col="source")
-    gone = found.filter("rejected").select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*COLUMNS)
+    """Documents whose language the evidence names; text, the declared language and the source as host count. Equal rows
+    have equal evidence, so a hash of the row stands for it."""
+    named = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    found = language.identify(named, language.fit(docs), "_row", "text", declared_col="lang", host_col="source")
+    gone = found.filter("rejected").select("_row").distinct()
+    return named.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
+@_tidied
 def near_copies_stage(spark, docs, sf_dir):
     """The document with the smallest id of each group of five-word shingle sets with Jaccard 0.8 or more."""
     return jaccard.keep_firsts(docs, n=5, num=8, den=10).select(*COLUMNS)
 
 
+@_tidied
 def repeats_stage(spark, docs, sf_dir):
     """Texts without passages of 50 words that started earlier; texts that had none keep their white space."""
     out = repeats.remove_repeats(docs, carry=("text", "lang", "source"))
@@ -37,11 +61,13 @@ def repeats_stage(spark, docs, sf_dir):
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@_tidied
 def mixing_stage(spark, docs, sf_dir):
     """A sample by source, language and topic with calibrated probabilities."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
+@_tidied
 def packing_stage(spark, docs, sf_dir):
     """Pieces of at most 1024 tokens in sequences."""
     return packing.pack(docs, textops.tokenizer_path(), ranks=textops.tokenizer_path("tiktoken"), loss_share=0.75, loss_limit=896)

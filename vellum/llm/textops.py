@@ -25,6 +25,8 @@ _DIGITS = _SEED.integers(1, 2**64, 256, dtype=np.uint64)
 _LEFT, _RIGHT, _SIZE = (U(x) for x in _SEED.integers(1, 2**63, 3, dtype=np.uint64) * U(2) + U(1))
 _places = {"odd": np.zeros(0, U)}
 SLICE_BYTES = 1 << 19
+#: Folders that stored() wrote in this process, the newest last.
+STORED: list[str] = []
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -178,15 +180,21 @@ def stored(df, name: str):
     """The rows of df as a Parquet table in the shared folder: cuts the lineage, outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark, paths) -> None:
+    """Deletes folders that stored() wrote."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dropped(*tables) -> None:
     """Deletes tables that stored() made and nothing reads any more."""
     for table in tables:
-        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        removed(table.sparkSession, {f.rpartition("/")[0] for f in table.inputFiles()})
 
 
 def components(edges, low: str = "a", high: str = "b"):
