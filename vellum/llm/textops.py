@@ -197,15 +197,56 @@ def dropped(*tables) -> None:
         removed(table.sparkSession, {f.rpartition("/")[0] for f in table.inputFiles()})
 
 
+def join_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Merges the trees of p and q in root, where each node points at the smallest of its tree."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q = p[apart], q[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(top := root[root], root):
+            root[:] = top
+
+
+FOREST = 500_000
+
+
+def _forest(batches):
+    """Links that connect what the given ones do, at most one for each node of every FOREST links."""
+
+    def emitted(held):
+        nodes, places = np.unique(np.concatenate(held), return_inverse=True)
+        p, q = np.split(places, 2)
+        root = np.arange(len(nodes))
+        join_roots(root, p, q)
+        tree = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[tree]]), pa.array(nodes[tree])], ["x", "y"])
+
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column("x").to_numpy())
+        b.append(batch.column("y").to_numpy())
+        if sum(map(len, a)) >= FOREST:
+            yield emitted([np.concatenate(a), np.concatenate(b)])
+            a, b = [], []
+    if a:
+        yield emitted([np.concatenate(a), np.concatenate(b)])
+    tidy()
+
+
 def components(edges, low: str = "a", high: str = "b"):
     """(node, label) of every node of an edge table: label is the smallest node that links reach.
 
-    Labels flow along links and then jump to their own label, until nothing changes; each round is a
-    stored table, and the last round's tables go. Links to a hub are summed by node after the join. No edges: an empty table.
+    Slices of FOREST links are first thinned to a link for each node at most. Then labels flow along links and jump to
+    their own label, until nothing changes; each round is a stored table, and the last round's tables go. Links to a hub
+    are summed by node after the join. No edges: an empty table.
     """
     from pyspark.sql import functions as F
 
-    both = edges.select(F.col(low).alias("x"), F.col(high).alias("y"))
+    links = stored(edges.select(F.col(low).cast("long").alias("x"), F.col(high).cast("long").alias("y")), "links")
+    both = links.coalesce(-(-links.count() // FOREST) or 1).mapInArrow(_forest, "x long, y long")
     both = stored(both.union(both.select(F.col("y"), F.col("x"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("label")), "labels")
     while True:
@@ -217,6 +258,6 @@ def components(edges, low: str = "a", high: str = "b"):
         new = stored(new, "labels")
         dropped(labels, step)
         if new.filter("label <> old").isEmpty():
-            dropped(both)
+            dropped(both, links)
             return new.select("node", "label")
         labels = new.select("node", "label")

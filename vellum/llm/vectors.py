@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .textops import U, components, mix, stored
+from .textops import U, components, join_roots, mix, stored
 
 PART_ROWS = 2000
 
@@ -44,19 +44,6 @@ def unpacked(data: list[bytes], sizes) -> np.ndarray:
     return np.vstack([np.frombuffer(b, np.float32 if len(b) == 4 * n else np.float64) for b, n in zip(data, sizes, strict=True)]).astype(float)
 
 
-def join_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
-    """Merges the trees of p and q in root, where each node points at the smallest of its tree."""
-    while True:
-        a, b = root[p], root[q]
-        apart = a != b
-        if not apart.any():
-            return
-        p, q = p[apart], q[apart]
-        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (top := root[root]).tolist() != root.tolist():
-            root[:] = top
-
-
 def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"):
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
