@@ -62,6 +62,27 @@ def test_jaccard(docs, texts, n, num, den):
     assert all((got[d].n_shingles, got[d].component_id) == (len(s), root(parents, d)) for d, s in sets.items())
 
 
+def test_jaccard_of_a_hot_group(spark, monkeypatch):
+    """Near copies that mostly don't link with each other's first document, in many small blocks."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for d in range(60):
+        w = base.copy()
+        for at in rng.choice(60, int(rng.integers(0, 5)), replace=False):
+            w[at + 60 * (d % 2)] = f"{'ab'[d % 3 > 0]}{at}"
+        rows.append((d, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: shingles(t, 5) for d, t in rows}
+    parents = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                merge(parents, a, b)
+    assert got == {d: root(parents, d) for d in sets} and len(set(got.values())) > 1
+
+
 def test_multi_match_prefixes_lose_nothing():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -11,7 +11,9 @@ Exact set similarity join of word shingles: documents link when |A & B| / |A | B
    class counts in the prefix over l. A pair needs an overlap of o = ceil(t * (|A| + |B|) / (1 + t)), so it must share
    min(l, l') shingles whose places in the two orders are among the first |A| - o + min(l, l') and |B| - o + min(l, l').
 4. Every set with a shared prefix shingle is verified against the shingle's first document; verified links are
-   merged. Only pairs whose sets are still in different components go on: they are made in bounded blocks, with the
+   merged. Where a shingle of many sets still has several components, each set is verified against the one that seems
+   nearest to it in each bounded block, and these links are merged too: most of a large group is one component then.
+   Only pairs whose sets are still in different components go on: they are made in the same blocks, with the
    multi-match requirement counted per pair, and are verified exactly. A pair is left out only where it can't link:
    its parity words (512 bits, each the parity of the shingles that hash to it) differ in more bits than the sets
    may differ in shingles, or its first common shingle comes too late. No link between components is lost.
@@ -208,43 +210,62 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     labels = components(links)
 
     # What is left: pairs in different components. Shingles of few sets are joined; those of many in bounded blocks.
-    marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
-    marked = stored(marked, "marked")
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
-    both = stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
-    few = both.filter(F.col("k") <= FEW).drop("k")
+    def apart(labels):
+        """The prefix rows of shingles that occur in several components, with the parity words."""
+        marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
+        marked = stored(marked, "marked")
+        mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
+        return stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
+
+    def in_blocks(many, nearest: bool):
+        """The pairs of rows that share a shingle, are in different components and may link. nearest: of each set and
+        block only the pair with the least different parity words among those with a smaller name."""
+        many = many.withColumn("parts", F.ceil(F.col("k") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+
+        def pairs_of(key, table):
+            c = {k: table.column(k).to_numpy().astype(np.int64) for k in ("sid", "n", "pos", "ell", "label", "part")}
+            bits = np.column_stack([table.column(b).to_numpy() for b in PARITY]).view(U)
+            i, j = key[1].as_py(), key[2].as_py()
+            left, right = np.flatnonzero(c["part"] == i), np.flatnonzero(c["part"] == j)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for at in range(0, len(left), 64):
+                x, y = (z.ravel() for z in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+                keep = (c["label"][x] != c["label"][y]) & (c["n"][x] * den >= c["n"][y] * num) & (c["n"][y] * den >= c["n"][x] * num)
+                if i == j:
+                    keep &= c["sid"][x] < c["sid"][y]
+                x, y = x[keep], y[keep]
+                both_n, ask = c["n"][x] + c["n"][y], np.minimum(c["ell"][x], c["ell"][y])
+                need = -(-both_n * num // (num + den))
+                keep = (c["pos"][x] < c["n"][x] - need + ask) & (c["pos"][y] < c["n"][y] - need + ask)
+                x, y, both_n, most = x[keep], y[keep], both_n[keep], (both_n - 2 * need)[keep]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                keep = differ <= most
+                found.append((x[keep], y[keep], (differ / both_n)[keep]))
+            x, y, differ = (np.concatenate(f) for f in zip(*found, strict=True))
+            flip = c["sid"][x] > c["sid"][y]
+            x, y = np.where(flip, y, x), np.where(flip, x, y)
+            if nearest and len(y):
+                order = np.lexsort((c["sid"][x], differ, y))
+                x, y = x[order], y[order]
+                best = np.r_[True, y[1:] != y[:-1]]
+                x, y = x[best], y[best]
+            return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z].astype(np.int32)) for z in (x, y) for k in ("n", "pos", "ell")], names=["a", "b", "n_a", "pos_a", "ell_a", "n_b", "pos_b", "ell_b"])
+
+        return spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, pos_a int, ell_a int, n_b int, pos_b int, ell_b int")
+
+    left = apart(labels)
+    if not (many := left.filter(F.col("k") > FEW)).isEmpty():
+        close = stored(in_blocks(many, True).select("a", "b", "n_a", "n_b").distinct(), "pairs")
+        links = links.union(stored(verified(close), "links"))
+        labels = components(links)
+        left = apart(labels)
+    few = left.filter(F.col("k") <= FEW).drop("k")
     x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "pos", "ell", "label", *PARITY)]) for o in "ab")
     pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b").filter(fits & similar)
     pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), *[f"{c}_{o}" for o in "ab" for c in ("n", "pos", "ell")])
-    many = both.filter(F.col("k") > FEW).withColumn("parts", F.ceil(F.col("k") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-
-    def pairs_of(key, table):
-        c = {k: table.column(k).to_numpy().astype(np.int64) for k in ("sid", "n", "pos", "ell", "label", "part")}
-        bits = np.column_stack([table.column(b).to_numpy() for b in PARITY]).view(U)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(c["part"] == i), np.flatnonzero(c["part"] == j)
-        found = []
-        for at in range(0, len(left), 64):
-            x, y = (z.ravel() for z in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-            keep = (c["label"][x] != c["label"][y]) & (c["n"][x] * den >= c["n"][y] * num) & (c["n"][y] * den >= c["n"][x] * num)
-            if i == j:
-                keep &= c["sid"][x] < c["sid"][y]
-            x, y = x[keep], y[keep]
-            both_n, ask = c["n"][x] + c["n"][y], np.minimum(c["ell"][x], c["ell"][y])
-            need = -(-both_n * num // (num + den))
-            keep = (c["pos"][x] < c["n"][x] - need + ask) & (c["pos"][y] < c["n"][y] - need + ask)
-            x, y, most = x[keep], y[keep], (both_n - 2 * need)[keep]
-            keep = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
-            found.append((x[keep], y[keep]))
-        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        flip = c["sid"][x] > c["sid"][y]
-        x, y = np.where(flip, y, x), np.where(flip, x, y)
-        return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z].astype(np.int32)) for z in (x, y) for k in ("n", "pos", "ell")], names=["a", "b", "n_a", "pos_a", "ell_a", "n_b", "pos_b", "ell_b"])
-
-    rest = spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, pos_a int, ell_a int, n_b int, pos_b int, ell_b int")
-    rest = pairs.unionByName(rest)
+    rest = pairs.unionByName(in_blocks(left.filter(F.col("k") > FEW), False))
     early = (F.col("first_a") <= n_a - needed_overlap) & (F.col("first_b") <= n_b - needed_overlap)
     rest = stored(enough(rest).filter(early).select("a", "b", "n_a", "n_b"), "pairs")
     more = stored(verified(rest), "links")
