@@ -30,7 +30,6 @@ from .textops import slices, small_batches, tidy
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 GROUP_TOKENS = 2_000_000
 SLICE = 1 << 20
-_ENCODERS: dict = {}
 #: How this vocabulary's tokenizers cut texts before they merge bytes; a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,9 +65,11 @@ class Encoder:
     def __init__(self, path: str, ranks: str | None = None, end_id: int = 0, most: int = 1 << 25):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread, as tasks share the cores
         self.tokenizer, self.most, self.end_id = Tokenizer.from_file(path), most, end_id
         self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain_ids = lambda text: self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        tokenizer = self.tokenizer
+        self.plain_ids = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         if ranks:
             import tiktoken
 
@@ -133,14 +134,6 @@ class Encoder:
         return out, np.r_[0, ends[np.cumsum(counts + 1) - 1]].astype(np.int64)
 
 
-def encoder_of(*made_of) -> Encoder:
-    """The encoder of this worker process, which keeps what earlier tasks encoded; one thread, as tasks share the cores."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if made_of not in _ENCODERS:
-        _ENCODERS[made_of] = Encoder(*made_of)
-    return _ENCODERS[made_of]
-
-
 def items_of(tokens, loss, size: int, loss_limit: int) -> list[tuple[int, int, int, int]]:
     """(document, start, tokens, loss tokens) of items that meet the limits alone, but for those without loss, which may
     be longer than a sequence. loss: how many tokens bear loss, at the document's end."""
@@ -240,7 +233,7 @@ def pack(df, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", los
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, serial = encoder_of(tokenizer, ranks, end_id), TaskContext.get().partitionId() << 40
+        encoder, serial = Encoder(tokenizer, ranks, end_id), TaskContext.get().partitionId() << 40
         ids: list = []
         data: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -281,6 +274,8 @@ def pack(df, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", los
                     held = 0
         if ids:
             yield flush()
+        # workers outlive tasks; what an encoder holds would count against later stages
+        del encoder
         tidy()
 
     return picked.mapInArrow(run, SCHEMA)
