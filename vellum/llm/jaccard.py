@@ -197,7 +197,9 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
             tidy()
 
         near = own.withColumn("bit", bit).mapInArrow(sift, "doc long, text string, bit long").drop("bit")
-        return stored(near.join(needed, "doc").select("sid", "text").mapInArrow(of_texts, "sid long, items array<long>"), "sets")
+        # shuffled even where one side is small, so that no task needs two Python workers at a time
+        near = near.join(needed.hint("merge"), "doc").select("sid", "text")
+        return stored(near.mapInArrow(of_texts, "sid long, items array<long>"), "sets")
 
     def verified(pairs):
         sets = sets_of(pairs)
