@@ -214,3 +214,11 @@ def test_pushdown(spark):
 
     plan = parquet(spark, "/root/testdata/sf0.001/lineitem.parquet").find({"l_quantity": {"$gt": 49}, "l_returnflag": {"$in": ["A", "R"]}}, {"l_orderkey": 1, "_id": 0})._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,49" in plan and "In(l_returnflag" in plan and "l_tax" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_pushes_to_more_than_a_million_groups(spark, tmp_path):
+    from vellum.queries import QUERIES
+
+    spark.range(10**6 + 7).selectExpr("id AS l_orderkey", "1 AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["update_push_wider"](spark, str(tmp_path)).agg(F.count("_id"), F.sum("n"), F.sum("total"), F.min("top")).first()
+    assert tuple(found) == (10**6 + 7, 2 * (10**6 + 7), 3.5 * (10**6 + 7), 2.5)

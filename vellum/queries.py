@@ -268,7 +268,7 @@ QUERIES = {
     "agg_constants": _aggregate("lineitem", {"$group": {"_id": "$l_linestatus", "two": {"$sum": {"$literal": 2}}, "half": {"$sum": Decimal("0.5")}, "three": {"$avg": {"$literal": 3}}, "none": {"$sum": {"$literal": "x"}}}}, flat=lambda d: ["_id", "two", F.col("half").cast("double").alias("half"), "three", "none"]),
     "agg_mixed_order": _aggregate("events", {"$sort": {"event_type": -1, "value": 1, "event_id": -1}}, {"$group": {"_id": "$user_id", "first": {"$first": "$event_id"}, "last": {"$last": "$event_id"}}}),
     "update_set_wider": _update("part", {"p_size": {"$lt": 10}}, {"$set": {"p_size": 2.5}}, ("p_partkey", "p_size")),
-    "update_push_wider": lambda spark, sf_dir: _at(spark, sf_dir, "lineitem").aggregate([{"$group": {"_id": "$l_orderkey", "n": {"$push": "$l_linenumber"}}}, {"$limit": 10**6}]).transform(lambda d: Collection(d, "_id").update({"n": 1}, {"$push": {"n": 2.5}}).df).select("_id", F.array_max("n").alias("top"), F.size("n").alias("n"), F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("total")),
+    "update_push_wider": lambda spark, sf_dir: _at(spark, sf_dir, "lineitem").aggregate([{"$group": {"_id": "$l_orderkey", "n": {"$push": "$l_linenumber"}}}]).transform(lambda d: Collection(d, "_id").update({"n": 1}, {"$push": {"n": 2.5}}).df).select("_id", F.array_max("n").alias("top"), F.size("n").alias("n"), F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("total")),
     "update_inc_overflow": _update("part", {"p_size": {"$gte": 25}}, {"$inc": {"p_size": 2**31 - 1}}, ("p_partkey", "p_size")),
     "update_rename_dotted": _renamed,
     "update_creates_parents": _created,
