@@ -83,6 +83,42 @@ def test_jaccard_of_a_hot_group(spark, monkeypatch):
     assert got == {d: root(parents, d) for d in sets} and len(set(got.values())) > 1
 
 
+def rows_made(spark, since):
+    """The most rows that a join, an explode or a Python function has made in the executions since that number, and the number of the last one."""
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        run = runs.next().executionId()
+        last = max(last, run)
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes().iterator()
+        while run > since and nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while re.search("Join|Generate|Arrow", node.name()) and metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, last
+
+
+def test_work_on_a_hot_group_does_not_grow_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 10)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 20)
+    rng, base, made = np.random.default_rng(8), [f"w{i}" for i in range(300)], []
+    for size in (100, 500):
+        rows = []
+        for d in range(size):
+            w = base.copy()
+            for at in rng.choice(300, int(rng.integers(0, 7)), replace=False):
+                w[at] = f"{d}-{at}"
+            rows.append((d, " ".join(w)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        _, last = rows_made(spark, -1)
+        jaccard.jaccard_components(docs).collect()
+        made.append(rows_made(spark, last)[0])
+    assert made[0] > 0 and made[1] < 8 * made[0]
+
+
 def test_multi_match_prefixes_lose_nothing():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -11,12 +11,18 @@ Exact set similarity join of word shingles: documents link when |A & B| / |A | B
    class counts in the prefix over l. A pair needs an overlap of o = ceil(t * (|A| + |B|) / (1 + t)), so it must share
    min(l, l') shingles whose places in the two orders are among the first |A| - o + min(l, l') and |B| - o + min(l, l').
 4. Every set with a shared prefix shingle is verified against the shingle's first document; verified links are
-   merged. Where a shingle of many sets still has several components, each set is verified against the one that seems
-   nearest to it in each bounded block, and these links are merged too: most of a large group is one component then.
-   Only pairs whose sets are still in different components go on: they are made in the same blocks, with the
-   multi-match requirement counted per pair, and are verified exactly. A pair is left out only where it can't link:
-   its parity words (512 bits, each the parity of the shingles that hash to it) differ in more bits than the sets
-   may differ in shingles, or its first common shingle comes too late. No link between components is lost.
+   merged. Only pairs whose sets are still in different components go on.
+5. Where a shingle of few sets has several components, its sets are joined, with the multi-match requirement counted per
+   pair. A pair is left out only where it can't link: its parity words (512 bits, each the parity of the shingles that
+   hash to it) differ in more bits than the sets may differ in shingles, or its first common shingle comes too late.
+6. A shingle of many sets has a reference, the one of them with most such shingles, so that near copies have nearly all the
+   same. D is what only a set or only its reference has. |D| tells whether the two link; two sets differ in
+   |D| + |D'| - 2 * |D & D'| shingles. Sets near the reference are one component with it, so a pair between components has
+   one that is far: |D'| > g * (n' + r), with g = (den - num) / (num + den) and r the size of the reference. The pair links
+   only with |D & D'| > (|D| + g * (r - n)) / 2, as links differ in at most g * (n + n') shingles. That is more than 0,
+   and usually half of D, so pairs come from a prefix join of the D, rarest first: edits of one copy alone come
+   first and meet nothing. Pairs with a shingle of many sets in common need no count of shingles; what the joins give is
+   verified exactly, and no link between components is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer than n words are one
 shingle; ties and repeated rows are equal sets; null ids are larger than all others; very long texts are sets like others;
@@ -201,17 +207,20 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         near = near.join(needed.hint("merge"), "doc").select("sid", "text")
         return stored(near.mapInArrow(of_texts, "sid long, items array<long>"), "sets")
 
-    def verified(pairs):
+    def with_sets(pairs):
         sets = sets_of(pairs)
         left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), "a")
-        full = left.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b")
+        return left.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b")
+
+    def verified(pairs):
         meet = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-        return full.select("a", "b", meet.alias("meet"), "n_a", "n_b").filter(F.col("meet") * den >= (F.col("n_a") + F.col("n_b") - F.col("meet")).cast("long") * num).select("a", "b")
+        full = with_sets(pairs).select("a", "b", meet.alias("meet"), "n_a", "n_b")
+        return full.filter(F.col("meet") * den >= (F.col("n_a") + F.col("n_b") - F.col("meet")).cast("long") * num).select("a", "b")
 
     links = stored(verified(star), "links")
     labels = components(links)
 
-    # What is left: pairs in different components. Shingles of few sets are joined; those of many in bounded blocks.
+    # What is left: pairs in different components.
     def apart(labels):
         """The prefix rows of shingles that occur in several components, with the parity words."""
         marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
@@ -219,57 +228,50 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
         return stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
 
-    def in_blocks(many, nearest: bool):
-        """The pairs of rows that share a shingle, are in different components and may link. nearest: of each set and
-        block only the pair with the least different parity words among those with a smaller name."""
-        many = many.withColumn("parts", F.ceil(F.col("k") / BLOCK_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-        spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-
-        def pairs_of(key, table):
-            c = {k: table.column(k).to_numpy().astype(np.int64) for k in ("sid", "n", "pos", "ell", "label", "part")}
-            bits = np.column_stack([table.column(b).to_numpy() for b in PARITY]).view(U)
-            i, j = key[1].as_py(), key[2].as_py()
-            left, right = np.flatnonzero(c["part"] == i), np.flatnonzero(c["part"] == j)
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            for at in range(0, len(left), 64):
-                x, y = (z.ravel() for z in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-                keep = (c["label"][x] != c["label"][y]) & (c["n"][x] * den >= c["n"][y] * num) & (c["n"][y] * den >= c["n"][x] * num)
-                if i == j:
-                    keep &= c["sid"][x] < c["sid"][y]
-                x, y = x[keep], y[keep]
-                both_n, ask = c["n"][x] + c["n"][y], np.minimum(c["ell"][x], c["ell"][y])
-                need = -(-both_n * num // (num + den))
-                keep = (c["pos"][x] < c["n"][x] - need + ask) & (c["pos"][y] < c["n"][y] - need + ask)
-                x, y, both_n, most = x[keep], y[keep], both_n[keep], (both_n - 2 * need)[keep]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                keep = differ <= most
-                found.append((x[keep], y[keep], (differ / both_n)[keep]))
-            x, y, differ = (np.concatenate(f) for f in zip(*found, strict=True))
-            flip = c["sid"][x] > c["sid"][y]
-            x, y = np.where(flip, y, x), np.where(flip, x, y)
-            if nearest and len(y):
-                order = np.lexsort((c["sid"][x], differ, y))
-                x, y = x[order], y[order]
-                best = np.r_[True, y[1:] != y[:-1]]
-                x, y = x[best], y[best]
-            return pa.table([pa.array(c["sid"][x]), pa.array(c["sid"][y])] + [pa.array(c[k][z].astype(np.int32)) for z in (x, y) for k in ("n", "pos", "ell")], names=["a", "b", "n_a", "pos_a", "ell_a", "n_b", "pos_b", "ell_b"])
-
-        return spread.groupBy("token", "i", "j").applyInArrow(pairs_of, "a long, b long, n_a int, pos_a int, ell_a int, n_b int, pos_b int, ell_b int")
+    def differences(hot):
+        """One row for each set of a hot shingle and its reference, the shingle's set with most hot shingles: a, n_a, the
+        reference b, n_b, and the shingles that only one of the two has."""
+        weights = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
+        tops = hot.join(weights, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid", "n")).alias("top"))
+        pairs = hot.join(tops, "token").filter("sid <> top.sid").select(F.col("sid").alias("a"), F.col("top.sid").alias("b"), F.col("n").alias("n_a"), F.col("top.n").alias("n_b")).distinct()
+        pairs = stored(pairs, "pairs")
+        only = F.concat(F.array_except("items_a", "items_b"), F.array_except("items_b", "items_a"))
+        found = with_sets(pairs).select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), only.alias("only"), F.size(only).cast("long").alias("size"))
+        found = found.withColumn("far", F.col("size") * (num + den) > (F.col("n_a") + F.col("n_b")) * (den - num))
+        return stored(found.repartition(-(-pairs.count() // BLOCK_ROWS) or 1, "a"), "differences")  # BLOCK_ROWS sets in a task or so
+
+    def by_differences(found, sets):
+        """Pairs of sets in different components that may link and have a reference in common. sets: label and parity words."""
+        token, own = Window.partitionBy("b", "token"), Window.partitionBy("b", "a").orderBy("k", "token")
+        x = found.join(sets.select(F.col("sid").alias("a")), "a").select("b", "a", "n_a", "n_b", "size", "far", F.explode("only").alias("token"))
+        x = x.withColumn("k", F.count(F.lit(1)).over(token)).withColumn("pos", F.row_number().over(own) - 1).filter("k > 1")
+        # links of a set to one that is far from their reference have more than least differences in common
+        least = F.floor((F.col("size") * (num + den) + (F.col("n_b") - F.col("n_a")) * (den - num)) / (2 * (num + den)))
+        x = x.withColumn("early", F.col("pos") < F.col("size") - least).filter("early or far").select("b", "token", F.col("a").alias("sid"), F.col("n_a").alias("n"), "size", "far", "pos", "early")
+        x = stored(x.join(sets, "sid"), "shingles")
+        y = x.filter("far").select("b", "token", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "size", "pos", "label", *PARITY)])
+        x = x.filter("early").select("b", "token", "far", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "size", "pos", "label", *PARITY)])
+        common = F.ceil(((F.col("size_a") + F.col("size_b")) * (num + den) - (n_a + n_b) * (den - num)) / (2 * (num + den)))
+        fit = (F.col("label_a") != F.col("label_b")) & (~F.col("far") | (F.col("sid_a") < F.col("sid_b"))) & (n_a * den >= n_b * num) & (n_b * den >= n_a * num)
+        fit &= (F.col("pos_a") <= F.col("size_a") - common) & (F.col("pos_b") <= F.col("size_b") - common) & similar
+        ends = [F.when(F.col("sid_a") < F.col("sid_b"), F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(out) for c, p, q, out in (("sid", "a", "b", "a"), ("sid", "b", "a", "b"), ("n", "a", "b", "n_a"), ("n", "b", "a", "n_b"))]
+        return x.join(y, ["b", "token"]).filter(fit).select(*ends).distinct()
 
     left = apart(labels)
-    if not (many := left.filter(F.col("k") > FEW)).isEmpty():
-        close = stored(in_blocks(many, True).select("a", "b", "n_a", "n_b").distinct(), "pairs")
-        links = links.union(stored(verified(close), "links"))
+    close = None
+    if not (hot := left.filter(F.col("k") > FEW)).isEmpty():
+        found = differences(hot)
+        links = links.union(stored(found.filter("not far").select("a", "b"), "links"))
         labels = components(links)
         left = apart(labels)
+        close = by_differences(found, left.filter(F.col("k") > FEW).select("sid", "label", *PARITY).distinct())
     few = left.filter(F.col("k") <= FEW).drop("k")
     x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "pos", "ell", "label", *PARITY)]) for o in "ab")
     pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b").filter(fits & similar)
     pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), *[f"{c}_{o}" for o in "ab" for c in ("n", "pos", "ell")])
-    rest = pairs.unionByName(in_blocks(left.filter(F.col("k") > FEW), False))
     early = (F.col("first_a") <= n_a - needed_overlap) & (F.col("first_b") <= n_b - needed_overlap)
-    rest = stored(enough(rest).filter(early).select("a", "b", "n_a", "n_b"), "pairs")
+    rest = enough(pairs).filter(early).select("a", "b", "n_a", "n_b")
+    rest = stored(rest if close is None else rest.union(close.select("a", "b", "n_a", "n_b")).distinct(), "pairs")
     more = stored(verified(rest), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
