@@ -233,6 +233,33 @@ def test_vectors(spark):
     assert all((r.n_links, r.component_id, r.kept) == (links[i], root(parents, i), root(parents, i) == i) for i, r in got.items()) and len(got) == len(data)
 
 
+def test_vectors_in_chunks(spark, monkeypatch):
+    """A label of many chunks: whole results, and what is shuffled stays near the size of the vectors."""
+    monkeypatch.setattr(vectors, "CHUNK", 1 << 17)
+    monkeypatch.setattr(vectors, "SIDE", 1 << 18)
+    monkeypatch.setattr(vectors, "SHELF", 1 << 19)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((5000, 64)).astype(np.float32)
+    x[1000:1400] = x[999] + rng.standard_normal((400, 64)) * 0.13  # a large group around the threshold
+    x[2000:2300] = x[1700:2000] + rng.standard_normal((300, 64)) * 0.1
+    x[4990:] = x[999]
+    label = np.where(np.arange(5000) < 2600, 0, np.arange(5000) % 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4)
+    df = textops.stored(df, "many")
+    moved = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(i) for i in range(s.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True))))[1]
+    before = moved()
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    assert moved() - before < 2.5 * x.nbytes
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    parents = {i: i for i in range(5000)}
+    for a, b in zip(*np.nonzero(near), strict=True):
+        merge(parents, int(a), int(b))
+    assert near.sum() > 20_000
+    assert all((r.n_links, r.component_id, r.kept) == (near[i].sum(), root(parents, i), root(parents, i) == i) for i, r in got.items()) and len(got) == 5000
+
+
 def test_licences(docs, texts):
     got = {r.doc_id: r for r in licences.scan(docs).collect()}
     phrases = {tuple(p.encode().split()): label for p, label in licences.PHRASES.items()}

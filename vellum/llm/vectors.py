@@ -1,13 +1,12 @@
-"""Embedding near-dedup by a subspace pigeonhole join (operator 4).
+"""Embedding near-dedup by an exact join of chunks (operator 4).
 
-Unit vectors with cosine >= t are within squared distance 2 - 2t. After a fixed random rotation the dimensions are
-split into blocks; block b gets the share of that budget that it has of the dimensions, so two linked vectors are
-within budget in at least one block. Each block is range-joined on a grid over its first two dimensions: a vector
-has a home cell and visits the cells within the block's radius, and cells are dealt into bounded parts. A task
-compares block distances, takes each pair in its first block only, and verifies the cosine in double precision.
-Pairs never leave a task: it returns sums of links per vector and a spanning set of links. Within a task, a band over the
-block's last dimension leaves out most pairs before distances are taken. Vectors travel as 4-byte numbers where these hold
-them exactly.
+Unit vectors with cosine >= t are within squared distance 2 - 2t, and so are their first dimensions after any rotation. The
+vectors of a label are dealt by name into chunks of bounded size. A label of one chunk is done where that is made up. The
+chunks of other labels are stored once, and Spark's product of that table with itself reads every two chunks of a label
+together: no vector is shuffled more than once, whatever a label's size. A task compares the first dimensions of the
+rotated vectors, within a band over one of them, and verifies the cosine of what is left in double precision. Pairs
+never leave a task: it returns sums of links per vector and a spanning set of links. Vectors travel as 4-byte numbers where
+these hold them exactly.
 
 Equal vectors (of a label) are one node with a count, so a group of copies costs nothing.
 
@@ -19,148 +18,234 @@ different vectors; an empty table gives an empty result; further columns don't m
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from .textops import U, components, join_roots, mix, stored
+from .textops import U, components, join_roots, mix, stored, thinned, tidy
 
-PART_ROWS = 2000
+#: Bytes of a chunk, of what a task reads of either side, and of the chunks that are multiplied with each other.
+CHUNK, SIDE, SHELF = 1 << 21, 1 << 25, 1 << 28
+LEAD, TILE, WIDE, LINKS = 16, 256, 2048, 200_000
 
 
 @functools.lru_cache
 def rotation(size: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
+    """Orthonormal directions, LEAD at most, as columns."""
+    return np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((size, min(size, LEAD))))[0]
 
 
-def blocks_of(size: int, blocks: int) -> list[np.ndarray]:
-    return [b for b in np.array_split(np.arange(size), min(blocks, max(1, size))) if len(b)]
+def chunk_rows(size: int) -> int:
+    return max(256, CHUNK // (4 * size))
 
 
-def unpacked(data: list[bytes], sizes) -> np.ndarray:
-    """Vectors of one size as doubles, from their 4- or 8-byte numbers."""
-    return np.vstack([np.frombuffer(b, np.float32 if len(b) == 4 * n else np.float64) for b, n in zip(data, sizes, strict=True)]).astype(float)
+def _numbered(batch):
+    """For each size of the vectors that can link: rows, sizes, names, kinds (of label and size) and the vectors."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy(zero_copy_only=False)
+    lengths = np.where(batch.column("label").is_valid().to_numpy(zero_copy_only=False), lengths, 0)
+    labels = batch.column("label").dictionary_encode()
+    of_label = []
+    for label in labels.dictionary.to_pylist():
+        letters = np.frombuffer(label.encode(), np.uint8).astype(U) + U(1)
+        of_label.append(mix(letters + mix(np.arange(len(letters), dtype=U) + U(1 << 40))).sum(dtype=U))
+    of_label = np.array(of_label, U)
+    for size in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == size)
+        x = batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size) + 0.0  # nulls are NaN
+        scale = np.abs(x).max(1)
+        fine = np.isfinite(scale) & (scale > 0)
+        rows, x, scale = rows[fine], x[fine], scale[fine]
+        if not len(rows):
+            continue
+        whose = of_label[labels.indices.take(pa.array(rows)).to_numpy()]
+        names = mix(mix(x.view(U) + mix(np.arange(size, dtype=U) + U(1))).sum(1, dtype=U) + whose)
+        kinds = mix(whose + mix(np.array([size], U) + U(1 << 41)))
+        odd = (scale <= 1e-100) | (scale >= 1e100)
+        x[odd] /= scale[odd, None]
+        yield rows, int(size), names.astype(np.int64), kinds.astype(np.int64), x
 
 
-def near_vectors(df, threshold: float = 0.98, blocks: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"):
+class Chunk:
+    """Vectors of one kind in the order of their first rotated dimension."""
+
+    def __init__(self, names: np.ndarray, copies: np.ndarray, v: np.ndarray):
+        norms = np.linalg.norm(v.astype(float), axis=1)
+        lead = (v @ rotation(v.shape[1])) / norms[:, None]
+        order = np.argsort(lead[:, 0])
+        self.names, self.copies, self.v, self.norms = names[order], copies[order].astype(float), v[order], norms[order]
+        lead = lead[order].astype(np.float32)
+        squares, ones = (lead**2).sum(1, keepdims=True), np.ones((len(lead), 1), np.float32)
+        self.place = lead[:, 0]
+        self.left, self.right = np.hstack([-2 * lead, squares, ones]), np.ascontiguousarray(np.hstack([lead, ones, squares]).T)
+
+    def cosines(self, p: np.ndarray, other: Chunk, q: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.v[p].astype(float), other.v[q].astype(float)) / (self.norms[p] * other.norms[q])
+
+
+def near_pairs(x: Chunk, y: Chunk, threshold: float):
+    """Places in x and y of vectors with cosine >= threshold; x and y have no name in common, or are one chunk, whose pairs
+    come once."""
+    limit = np.float32(2 - 2 * threshold + 1e-5)
+    r = np.sqrt(limit) + 1e-5
+    for at in range(0, len(x.names), TILE):
+        to = min(at + TILE, len(x.names))
+        lo, hi = np.searchsorted(y.place, [x.place[at] - r, x.place[to - 1] + r])
+        lo = max(lo, at) if x is y else lo
+        for cut in range(lo, hi, WIDE):
+            end = min(cut + WIDE, hi)
+            near = x.left[at:to] @ y.right[:, cut:end] <= limit
+            n = np.count_nonzero(near)
+            if not n:
+                continue
+            if n > near.size // 50:
+                cosines = (x.v[at:to].astype(float) @ y.v[cut:end].astype(float).T) / np.multiply.outer(x.norms[at:to], y.norms[cut:end])
+                p, q = np.nonzero(cosines >= threshold - 1e-9)
+                sure = cosines[p, q] >= threshold + 1e-9
+                p, q = p + at, q + cut
+                if not sure.all():  # the same sum as for a single pair decides
+                    sure[~sure] = x.cosines(p[~sure], y, q[~sure]) >= threshold
+            else:
+                p, q = np.nonzero(near)
+                p, q = p + at, q + cut
+                sure = x.cosines(p, y, q) >= threshold
+            if x is y:
+                sure &= p < q
+            if sure.any():
+                yield p[sure], q[sure]
+
+
+class Links:
+    """Sums of links of vectors, and links that connect what all found ones do."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.sums, self.tree, self.held = threshold, {}, [], 0
+
+    def add(self, x: Chunk, x_key, y: Chunk, y_key) -> None:
+        n_x, same = len(x.names), x is y
+        root = np.arange(n_x + (0 if same else len(y.names)))
+        sums_x, sums_y = (self.sums.setdefault(key, (c.names, np.zeros(len(c.names))))[1] for c, key in ((x, x_key), (y, y_key)))
+        for p, q in near_pairs(x, y, self.threshold):
+            sums_x += np.bincount(p, y.copies[q], len(sums_x))
+            sums_y += np.bincount(q, x.copies[p], len(sums_y))
+            join_roots(root, p, q if same else q + n_x)
+        names = x.names if same else np.r_[x.names, y.names]
+        tree = np.flatnonzero(root != np.arange(len(root)))
+        if len(tree):
+            self.tree.append((names[root[tree]], names[tree]))
+            self.held += len(tree)
+            if self.held > LINKS:
+                self.tree = [thinned(*map(np.concatenate, zip(*self.tree, strict=True)))]
+                self.held = len(self.tree[0][0]) // 2  # as many again may come
+
+    def found(self) -> pa.Table:
+        """a, b: links; a, n: the links of a."""
+        none = np.zeros(0, np.int64)
+        a, b = thinned(*map(np.concatenate, zip(*self.tree, strict=True))) if self.tree else (none, none)
+        of = np.concatenate([none, *[names[sums > 0] for names, sums in self.sums.values()]])
+        sums = np.concatenate([none, *[sums[sums > 0].astype(np.int64) for _, sums in self.sums.values()]])
+        return pa.table({"a": pa.array(np.r_[a, of]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(of), pa.int64())]), "n": pa.array(np.r_[np.zeros(len(a), np.int64), sums])})
+
+
+def near_vectors(df, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"):
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
 
-    def name(batches):
+    def parts(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                names, data, sizes = [], [], []
-                for label, v in zip(part.column("label").to_pylist(), part.column("v").to_pylist(), strict=True):
-                    x = np.array([np.nan if e is None else e for e in v or []], float) + 0.0
-                    fine = label is not None and len(x) and np.isfinite(x).all() and (scale := np.abs(x).max()) > 0
-                    if fine:
-                        places = np.arange(len(x), dtype=U) + U(1)
-                        letters = np.frombuffer(label.encode(), np.uint8).astype(U) + U(1)
-                        own = np.r_[mix(x.view(U) + mix(places)), mix(letters + mix(np.arange(len(letters), dtype=U) + U(1 << 40)))]
-                        names.append(int(mix(own.sum(dtype=U, keepdims=True))[0].astype(np.int64)))
-                        x = x / scale if not 1e-100 < scale < 1e100 else x
-                        short = x.astype(np.float32)
-                        data.append((short if (short == x).all() else x).tobytes())
-                        sizes.append(len(x))
-                    else:
-                        names.append(None)
-                        data.append(None)
-                        sizes.append(None)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(names, pa.int64()), pa.array(data, pa.binary()), pa.array(sizes, pa.int32())], ["vec_id", "label", "name", "data", "size"])
-
-    named = stored(rows.mapInArrow(name, "vec_id long, label string, name long, data binary, size int"), "vectors")
-    nodes = named.filter("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"), F.first("size").alias("size"))
+                yield batch.slice(at, 1000)
+
+    def name(batches):
+        for batch in parts(batches):
+            out = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
+            fine = np.zeros(batch.num_rows, bool)
+            for at, size, names, kinds, _ in _numbered(batch):
+                fine[at] = True
+                for to, values in zip(out, (names, kinds, size), strict=True):
+                    to[at] = values
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *[pa.array(x, mask=~fine) for x in out]], ["vec_id", "name", "kind", "size"])
+
+    named = stored(rows.mapInArrow(name, "vec_id long, name long, kind long, size long"), "vectors")
+    nodes = named.filter("name is not null").groupBy("name", "kind", "size").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes, "nodes")
 
-    limit = 2 - 2 * threshold
+    # the kinds of more than one chunk, so at most a row for each chunk's worth of vectors
+    most = F.greatest(F.lit(256), F.floor(F.lit(CHUNK) / (4 * F.col("size"))))
+    large, held = [], 0
+    for row in nodes.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most).collect():
+        large.append(Row(kind=row.kind, parts=-(-row.k // chunk_rows(row.size)), shelf=held // SHELF, bytes=4 * row.k * row.size))
+        held += large[-1].bytes
 
-    def parsed(table):
-        v = unpacked(table.column("data").to_pylist(), table.column("size").to_pylist())
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        return v, unit @ rotation(v.shape[1])
+    def vectors(batches):
+        for batch in parts(batches):
+            for _, size, names, kinds, x in _numbered(batch):
+                names, at, copies = np.unique(names, return_index=True, return_counts=True)
+                short = x[at].astype(np.float32)
+                exact = (short == x[at]).all(1)
+                data = [short[i].tobytes() if ok else x[j].tobytes() for i, (j, ok) in enumerate(zip(at, exact, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(kinds[at]), pa.array(np.full(len(at), size)), pa.array(copies), pa.array(data, pa.binary())], ["name", "kind", "size", "copies", "data"])
+        tidy()
 
-    def radius(dims, size):
-        return np.sqrt(limit * len(dims) / size) + 1e-9
+    def chunk(key, table):
+        kind, size, shelf, part = (k.as_py() for k in key)
+        names, at, of = np.unique(table.column("name").to_numpy(), return_index=True, return_inverse=True)
+        copies = np.bincount(of, table.column("copies").to_numpy()).astype(np.int64)
+        data = table.column("data").take(pa.array(at)).to_pylist()
+        kept = np.float32 if all(len(b) == 4 * size for b in data) else float
+        v = np.vstack([np.frombuffer(b, np.float32 if len(b) == 4 * size else float).astype(kept) for b in data])
+        if shelf >= 0:
+            row = {"kind": kind, "size": size, "part": part, "names": names.tobytes(), "copies": copies.tobytes(), "data": v.tobytes(), "a": None, "b": None, "n": None, "shelf": shelf}
+            return pa.Table.from_pylist([row], schema)
+        links, x = Links(threshold), Chunk(names, copies, v)
+        links.add(x, part, x, part)
+        found = links.found()
+        return pa.table([found.column(f.name) if f.name in found.column_names else pa.array(np.full(found.num_rows, shelf, np.int32)) if f.name == "shelf" else pa.nulls(found.num_rows, f.type) for f in schema], schema=schema)
+
+    numbers = {"kind": "long", "size": "long", "part": "int", "names": "binary", "copies": "binary", "data": "binary", "a": "long", "b": "long", "n": "long", "shelf": "int"}
+    schema = pa.schema([(k, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for k, t in numbers.items()])
+    spots = rows.mapInArrow(vectors, "name long, kind long, size long, copies long, data binary")
+    if large:
+        spots = spots.join(F.broadcast(spark.createDataFrame(large, "kind long, parts int, shelf int, bytes long")), "kind", "left")
+        spots = spots.select("name", "kind", "size", "copies", "data", F.coalesce("shelf", F.lit(-1)).alias("shelf"), F.pmod("name", F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    else:
+        spots = spots.withColumns({"shelf": F.lit(-1), "part": F.lit(0)})
+    chunks = spots.groupBy("kind", "size", "shelf", "part").applyInArrow(chunk, ", ".join(f"{k} {t}" for k, t in numbers.items()))
+    chunks = stored(chunks, "chunks", "shelf")
+
+    def match(batches):
+        links, key, x = Links(threshold), None, None
+
+        def side(batch, row, c):
+            names, copies, data = (batch.column(f"{f}{c}")[row].as_buffer() for f in ("names", "copies", "data"))
+            names = np.frombuffer(names, np.int64)
+            cells = len(names) * batch.column("size")[row].as_py()
+            return Chunk(names, np.frombuffer(copies, np.int64), np.frombuffer(data, np.float32 if data.size == 4 * cells else float).reshape(len(names), -1))
 
-    def cells(batches):
-        names = ["name", "copies", "label", "data", "size", "block", "cell", "home"]
         for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for size in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                _, turned = parsed(part)
-                for k, dims in enumerate(blocks_of(int(size), blocks)):
-                    r = radius(dims, size)
-                    lead = turned[:, dims[:2]]
-                    home = np.floor(lead / (3 * r)).astype(np.int64)
-                    picks, codes, homes = [], [], []
-                    moves = [(a, b) for a in (-1, 0, 1) for b in ((-1, 0, 1) if lead.shape[1] > 1 else (0,))]
-                    for move in moves:
-                        move = np.array(move[: lead.shape[1]])
-                        low, high = home * 3 * r, (home + 1) * 3 * r
-                        ok = np.all(np.where(move == 0, True, np.where(move < 0, lead - r <= low, lead + r >= high)), axis=1)
-                        at = np.flatnonzero(ok)
-                        cell = home[at] + move
-                        picks.append(at)
-                        codes.append(cell[:, 0] * 1_000_003 + (cell[:, 1] if lead.shape[1] > 1 else 0))
-                        homes.append(np.full(len(at), not move.any()))
-                    at = np.concatenate(picks)
-                    for lo in range(0, len(at), 5000):
-                        s = slice(lo, lo + 5000)
-                        sub = part.take(pa.array(at[s]))
-                        yield pa.RecordBatch.from_arrays([sub.column(c) for c in names[:4]] + [pa.array(np.full(sub.num_rows, size, np.int32)), pa.array(np.full(sub.num_rows, k, np.int32)), pa.array(np.concatenate(codes)[s]), pa.array(np.concatenate(homes)[s])], names)
-
-    spots = nodes.select("name", "copies", "label", "data", "size").mapInArrow(cells, "name long, copies long, label string, data binary, size int, block int, cell long, home boolean")
-    where = ["label", "size", "block", "cell"]
-    parts = stored(spots.groupBy(where).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "cells")
-    spots = spots.join(parts, where).withColumn("part", F.pmod("name", F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    seat = F.struct(F.col("part").alias("i"), F.col("other").alias("j"), F.lit(True).alias("hosts"))
-    visit = F.struct(F.col("other").alias("i"), F.col("part").alias("j"), F.lit(False).alias("hosts"))
-    spots = spots.withColumn("place", F.explode(F.when(F.col("home"), F.array(seat, visit)).otherwise(F.array(visit))))
-    spots = spots.select("name", "copies", "data", *where, F.col("place.i").alias("i"), F.col("place.j").alias("j"), F.col("place.hosts").alias("hosts"))
-
-    def join(key, table):
-        size, k = key[1].as_py(), key[2].as_py()
-        hosts = np.flatnonzero(table.column("hosts").to_numpy(zero_copy_only=False))
-        guests = np.flatnonzero(~table.column("hosts").to_numpy(zero_copy_only=False))
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not len(hosts) or not len(guests):
-            return empty
-        v, turned = parsed(table)
-        names, copies = table.column("name").to_numpy(), table.column("copies").to_numpy()
-        norms = np.linalg.norm(v, axis=1)
-        split = blocks_of(size, blocks)
-        x, y = turned[hosts][:, split[k]], turned[guests][:, split[k]]
-        # both sides in the order of the block's last dimension: a slice of hosts meets the guests within the radius of it
-        hosts, guests = hosts[np.argsort(x[:, -1])], guests[np.argsort(y[:, -1])]
-        x, y = turned[hosts][:, split[k]], turned[guests][:, split[k]]
-        r = radius(split[k], size)
-        sums, root = np.zeros(len(names), np.int64), np.arange(len(names))
-        for at in range(0, len(hosts), 128):
-            some = x[at : at + 128]
-            lo, hi = np.searchsorted(y[:, -1], [some[0, -1] - r, some[-1, -1] + r])
-            near = y[lo:hi]
-            far = (some**2).sum(1)[:, None] + (near**2).sum(1)[None] - 2 * some @ near.T
-            h, g = np.nonzero(far <= r**2 + 1e-9)
-            p, q = hosts[at + h], guests[lo + g]
-            fine = names[p] < names[q]
-            p, q = p[fine], q[fine]
-            for b in range(k):
-                fine = ((turned[p][:, split[b]] - turned[q][:, split[b]]) ** 2).sum(1) > radius(split[b], size) ** 2
-                p, q = p[fine], q[fine]
-            fine = np.einsum("ij,ij->i", v[p], v[q]) / (norms[p] * norms[q]) >= threshold
-            p, q = p[fine], q[fine]
-            np.add.at(sums, p, copies[q])
-            np.add.at(sums, q, copies[p])
-            join_roots(root, p, q)
-        tree, some = np.flatnonzero(root != np.arange(len(names))), np.flatnonzero(sums)
-        a, b = np.r_[names[root[tree]], names[some]], [*names[tree].tolist(), *[None] * len(some)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.r_[np.zeros(len(tree), np.int64), sums[some]], pa.int64())})
-
-    found = stored(spots.groupBy(*where, "i", "j").applyInArrow(join, "a long, b long, n long"), "found")
+            for row in range(batch.num_rows):
+                kind, i, j = (batch.column(c)[row].as_py() for c in ("kind", "part", "part_b"))
+                if key != (kind, i):  # stays for a run of rows
+                    key, x = (kind, i), side(batch, row, "")
+                links.add(x, key, x if i == j else side(batch, row, "_b"), (kind, j))
+        yield from links.found().to_batches(10_000)
+        tidy()
+
+    found = chunks.filter("shelf = -1").select("a", "b", "n")
+    least = math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1
+    for shelf, own in itertools.groupby(large, lambda x: x.shelf):
+        x = chunks.filter(F.col("shelf") == shelf).select("kind", "size", "part", "names", "copies", "data")
+        x = x.coalesce(max(least, -(-sum(k.bytes for k in own) // SIDE)))
+        y = x.select(*[F.col(c).alias(f"{c}_b") for c in x.columns])
+        pairs = x.join(y.hint("shuffle_replicate_nl"), (F.col("kind") == F.col("kind_b")) & (F.col("part") <= F.col("part_b"))).drop("kind_b", "size_b")
+        found = found.union(pairs.mapInArrow(match, "a long, b long, n long"))
+    found = stored(found, "found")
+
     labels = components(found.filter("b is not null").select("a", "b"))
     sums = found.filter("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("n"))
     nodes = nodes.select("name", "rep", "copies").join(labels, F.col("name") == F.col("node"), "left").join(sums, F.col("name") == F.col("of"), "left")
