@@ -4,9 +4,12 @@ import base64
 import hashlib
 import json
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,6 +52,34 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
+def shuffle_files(spark):
+    return {f for d, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(textops.CLEANUP)
+    table = textops.stored(spark.range(100_000).groupBy((F.col("id") % 50_000).alias("k")).agg(F.max("id").alias("top")), "summed")
+    assert table.count() == 50_000 and spark.conf.get(textops.CLEANUP) == setting
+    for _ in range(50):  # they go in the background; the count's own are a few bytes
+        left = shuffle_files(spark) - before
+        if len(left) <= 1:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1
+
+
+def test_jaccard_keeps_few_tables(docs, spark):
+    """Tables of prefixes and sets go when they are read for the last time."""
+    at = len(textops.STORED)
+    kept = {}
+    jaccard.jaccard_components(docs).collect()
+    for path in textops.STORED[at:]:
+        name = path.rpartition("/")[2].rpartition("-")[0]
+        place = Path(path.removeprefix("file://"))
+        kept[name] = kept.get(name, False) or place.exists() and any(place.iterdir())
+    assert not any(kept[x] for x in ("prefix", "marked", "sets")) and kept["sketch"]
+
+
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 8, 10)])
 def test_jaccard(docs, texts, n, num, den):
     got = {r.doc_id: r for r in jaccard.jaccard_components(docs, n, num, den).collect()}

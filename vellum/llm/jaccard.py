@@ -10,6 +10,7 @@ Exact set similarity join of word shingles: documents link when |A & B| / |A | B
    set picks its own l from a ladder: the cost of a longer prefix against the expected candidates, the sum of
    class counts in the prefix over l. A pair needs an overlap of o = ceil(t * (|A| + |B|) / (1 + t)), so it must share
    min(l, l') shingles whose places in the two orders are among the first |A| - o + min(l, l') and |B| - o + min(l, l').
+   A set stays with a shingle only where another set of the shingle has a size that it may link with.
 4. Every set with a shared prefix shingle is verified against the shingle's first document; verified links are
    merged. Only pairs whose sets are still in different components go on.
 5. Where a shingle of few sets has several components, its sets are joined, with the multi-match requirement counted per
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .textops import LOWER, U, components, mix, shingle_sets, slices, small_batches, stored, tidy
+from .textops import LOWER, U, components, dropped, mix, shingle_sets, slices, small_batches, stored, tidy
 
 CLASS_BITS, BLOCKS = 21, 128
 BLOCK_ROWS, FEW = 1000, 50
@@ -102,11 +103,11 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
                 np.add.at(table, (s >> U(64 - CLASS_BITS)).astype(np.int64), 1)
             if rows:
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), *[pa.array(b) for b in np.array(bits).T.copy()], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "sid", *PARITY, "block", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("doc").take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), *[pa.array(b) for b in np.array(bits).T.copy()], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "doc", "n", "sid", *PARITY, "block", "counts"])
         if table.any():
             z = zstandard.ZstdCompressor(3)
             parts = [z.compress(p.tobytes()) for p in np.split(table, BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * (3 + len(PARITY)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "sid", *PARITY, "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * (4 + len(PARITY)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "doc", "n", "sid", *PARITY, "block", "counts"])
         tidy()
 
     def add_up(key, rows):
@@ -117,8 +118,9 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([part], pa.binary())})
 
     words = "".join(f"{b} long, " for b in PARITY)
-    both = stored(docs.mapInArrow(sketch, f"doc_id long, n long, sid long, {words}block int, counts binary"), "sketch")
+    both = stored(docs.mapInArrow(sketch, f"doc_id long, doc long, n long, sid long, {words}block int, counts binary"), "sketch")
     members = both.filter("block is null").select("doc_id", "n", "sid")
+    firsts = both.filter("block is null and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
     parities = both.filter("block is null and n > 0").select("sid", *PARITY)
     tables = both.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
     tables = tables.groupBy("block", "part").applyInArrow(add_up, "block int, counts binary").groupBy("block").applyInArrow(add_up, "block int, counts binary")
@@ -132,26 +134,29 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         seen: set[int] = set()
         table = shared.value
         for batch in batches:
-            ids = batch.column("doc").to_pylist()
-            cols: list[list] = [[], [], [], [], [], []]
-            for r, s in _sets(batch, n, lower):
+            cols: list[list] = [[], [], [], [], []]
+            for _, s in _sets(batch, n, lower):
                 sid = set_name(s)
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
                 tokens, ell = prefix(s, table, num, den)
                 k = len(tokens)
-                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, ids[r]), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, ell, np.int32)), strict=True):
+                for c, v in zip(cols, (tokens.astype(np.int64), np.full(k, sid), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, ell, np.int32)), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "doc", "n", "pos", "ell"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sid", "n", "pos", "ell"])
         tidy()
 
     token = Window.partitionBy("token")
-    rows = docs.mapInArrow(prefixes, "token long, sid long, doc long, n int, pos int, ell int")
-    rows = rows.repartition("token").groupBy("token", "sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("ell").alias("ell"))
-    rows = rows.withColumn("k", F.count("sid").over(token)).filter("k > 1").withColumn("lead", F.min(F.struct("doc", "sid", "n", "pos", "ell")).over(token))
-    rows = stored(rows, "prefix")
+    rows = docs.mapInArrow(prefixes, "token long, sid long, n int, pos int, ell int")
+    rows = rows.repartition("token").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("ell").alias("ell"))
+    # a set that meets none of a size that it may link with does so neither where its nearest in size are too far
+    by_size = token.orderBy("n")
+    size = F.col("n").cast("long")
+    rows = rows.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    rows = rows.filter((F.col("less").cast("long") * den >= size * num) | (size * den >= F.col("more").cast("long") * num)).drop("less", "more")
+    rows = stored(rows.withColumn("lead", F.min(F.struct("sid", "n", "pos", "ell")).over(token)), "prefix")
 
     n_a, n_b = F.col("n_a").cast("long"), F.col("n_b").cast("long")
     needed_overlap = F.ceil((n_a + n_b) * num / F.lit(num + den))
@@ -163,8 +168,13 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
 
     def enough(pairs):
         """Pairs a < b that share as many prefix shingles as asked for; first_a, first_b: the place of the first one."""
-        shared = pairs.filter(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("pos_a").alias("first_a"), F.min("pos_b").alias("first_b"))
-        return shared.filter("shared >= asked")
+        two = lambda x, y: F.shiftleft(F.col(x).cast("long"), 32).bitwiseOR(F.col(y).cast("long"))
+        low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        # narrow rows, as there are many: the first common shingle is the same in both orders
+        shared = pairs.filter(fits).select("a", "b", asked.alias("asked"), two("n_a", "n_b").alias("n"), two("pos_a", "pos_b").alias("pos"))
+        shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"), F.max("n").alias("n"), F.min("pos").alias("pos")).filter("shared >= asked")
+        high = lambda c: F.shiftright(c, 32).cast("int")
+        return shared.select("a", "b", high("n").alias("n_a"), low("n").alias("n_b"), high("pos").alias("first_a"), low("pos").alias("first_b"))
 
     swap = F.col("sid") > F.col("lead.sid")
     pick = lambda own, lead: F.when(swap, F.col(lead)).otherwise(F.col(own))
@@ -173,7 +183,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         *[F.when(swap, F.col(c)).otherwise(F.col(f"lead.{c}")).alias(f"{o}b") for c, o in (("sid", ""), ("n", "n_"), ("pos", "pos_"), ("ell", "ell_"))],
     )
     star = stored(enough(star).select("a", "b", "n_a", "n_b"), "pairs")
-    firsts = stored(rows.groupBy("sid").agg(F.min("doc").alias("doc")), "firsts")
+    firsts = stored(firsts, "firsts")
     own = docs.select("doc", "text")
 
     def of_texts(batches):
@@ -207,26 +217,30 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         near = near.join(needed.hint("merge"), "doc").select("sid", "text")
         return stored(near.mapInArrow(of_texts, "sid long, items array<long>"), "sets")
 
-    def with_sets(pairs):
-        sets = sets_of(pairs)
+    def with_sets(pairs, sets):
         left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), "a")
         return left.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b")
 
     def verified(pairs):
         meet = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-        full = with_sets(pairs).select("a", "b", meet.alias("meet"), "n_a", "n_b")
-        return full.filter(F.col("meet") * den >= (F.col("n_a") + F.col("n_b") - F.col("meet")).cast("long") * num).select("a", "b")
+        full = with_sets(pairs, sets := sets_of(pairs)).select("a", "b", meet.alias("meet"), "n_a", "n_b")
+        links = full.filter(F.col("meet") * den >= (F.col("n_a") + F.col("n_b") - F.col("meet")).cast("long") * num).select("a", "b")
+        links = stored(links, "links")
+        dropped(sets)
+        return links
 
-    links = stored(verified(star), "links")
+    links = verified(star)
     labels = components(links)
 
     # What is left: pairs in different components.
     def apart(labels):
         """The prefix rows of shingles that occur in several components, with the parity words."""
-        marked = rows.drop("lead", "k", "doc").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
+        marked = rows.drop("lead").join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
         marked = stored(marked, "marked")
         mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("token", "k")
-        return stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
+        mixed = stored(marked.join(mixed, "token").join(parities.dropDuplicates(["sid"]), "sid"), "mixed")
+        dropped(marked)
+        return mixed
 
     def differences(hot):
         """One row for each set of a hot shingle and its reference, the shingle's set with most hot shingles: a, n_a, the
@@ -236,9 +250,11 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
         pairs = hot.join(tops, "token").filter("sid <> top.sid").select(F.col("sid").alias("a"), F.col("top.sid").alias("b"), F.col("n").alias("n_a"), F.col("top.n").alias("n_b")).distinct()
         pairs = stored(pairs, "pairs")
         only = F.concat(F.array_except("items_a", "items_b"), F.array_except("items_b", "items_a"))
-        found = with_sets(pairs).select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), only.alias("only"), F.size(only).cast("long").alias("size"))
+        found = with_sets(pairs, sets := sets_of(pairs)).select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), only.alias("only"), F.size(only).cast("long").alias("size"))
         found = found.withColumn("far", F.col("size") * (num + den) > (F.col("n_a") + F.col("n_b")) * (den - num))
-        return stored(found.repartition(-(-pairs.count() // BLOCK_ROWS) or 1, "a"), "differences")  # BLOCK_ROWS sets in a task or so
+        found = stored(found.repartition(-(-pairs.count() // BLOCK_ROWS) or 1, "a"), "differences")  # BLOCK_ROWS sets in a task or so
+        dropped(sets)
+        return found
 
     def by_differences(found, sets):
         """Pairs of sets in different components that may link and have a reference in common. sets: label and parity words."""
@@ -262,9 +278,11 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     if not (hot := left.filter(F.col("k") > FEW)).isEmpty():
         found = differences(hot)
         links = links.union(stored(found.filter("not far").select("a", "b"), "links"))
+        dropped(left)
         labels = components(links)
         left = apart(labels)
         close = by_differences(found, left.filter(F.col("k") > FEW).select("sid", "label", *PARITY).distinct())
+    dropped(rows)
     few = left.filter(F.col("k") <= FEW).drop("k")
     x, y = (few.select("token", *[F.col(c).alias(f"{c}_{o}") for c in ("sid", "n", "pos", "ell", "label", *PARITY)]) for o in "ab")
     pairs = x.join(y, "token").filter("sid_a < sid_b and label_a <> label_b").filter(fits & similar)
@@ -272,7 +290,7 @@ def jaccard_components(df, n: int = 5, num: int = 8, den: int = 10, lower: bool
     early = (F.col("first_a") <= n_a - needed_overlap) & (F.col("first_b") <= n_b - needed_overlap)
     rest = enough(pairs).filter(early).select("a", "b", "n_a", "n_b")
     rest = stored(rest if close is None else rest.union(close.select("a", "b", "n_a", "n_b")).distinct(), "pairs")
-    more = stored(verified(rest), "links")
+    more = verified(rest)
     if not more.isEmpty():
         labels = components(links.union(more))
 
